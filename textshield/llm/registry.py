@@ -3,7 +3,19 @@
 from __future__ import annotations
 
 from textshield import runtime
-from textshield.llm import bpe
+from textshield.llm import bpe, chat, langid, urls
+
+
+def op1_chat_formatting(spark, sf_dir):
+    return chat.query(runtime.load(spark, sf_dir, "conversations"))
+
+
+def op5_language_id(spark, sf_dir):
+    return langid.held_out_query(runtime.load(spark, sf_dir, "documents"))
+
+
+def op9_url_filters(spark, sf_dir):
+    return urls.judge(runtime.load(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("url", "html")
 
 
 def op10_bpe_tokenization_automaton(spark, sf_dir):
@@ -15,4 +27,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_formatting": chat.ORACLE}
