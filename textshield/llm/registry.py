@@ -3,17 +3,33 @@
 from __future__ import annotations
 
 from textshield import runtime
-from textshield.llm import bpe, chat, langid, urls
+from textshield.llm import bpe, chat, exact, langid, packing, shards, simhash, urls
 
 
 def op1_chat_formatting(spark, sf_dir):
     return chat.query(runtime.load(spark, sf_dir, "conversations"))
 
 
+def op3_sharding(spark, sf_dir):
+    return shards.query(runtime.load(spark, sf_dir, "documents"))
+
+
+def op4_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(runtime.load(spark, sf_dir, "documents")).drop("locator")
+
+
 def op5_language_id(spark, sf_dir):
     return langid.held_out_query(runtime.load(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark, sf_dir):
+    return packing.pack(runtime.load(spark, sf_dir, "documents"))
+
+
+def op7_exact_dedup(spark, sf_dir):
+    return exact.deduplicate(runtime.load(spark, sf_dir, "documents")).drop("locator")
+
+
 def op9_url_filters(spark, sf_dir):
     return urls.judge(runtime.load(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("url", "html")
 
