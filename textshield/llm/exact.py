@@ -135,3 +135,12 @@ def kept_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     dropped = runtime.written(dropped, "exact-dropped")
     mark = rows.free_name(docs, "locator")
     return rows.with_locator(docs, mark).join(runtime.if_small(dropped), F.col(mark) == F.col("__dropped"), "left_anti").drop(mark)
+
+
+ORACLE = """
+WITH n AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY t)
+"""

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from textshield import runtime
-from textshield.llm import bpe, chat, exact, langid, packing, shards, simhash, urls
+from textshield.llm import bpe, chat, exact, langid, packing, quality, shards, simhash, urls, warc
 
 
 def op1_chat_formatting(spark, sf_dir):
     return chat.query(runtime.load(spark, sf_dir, "conversations"))
 
 
+def op2_quality_rules(spark, sf_dir):
+    return quality.query(runtime.load(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark, sf_dir):
     return shards.query(runtime.load(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op7_exact_dedup(spark, sf_dir):
     return exact.deduplicate(runtime.load(spark, sf_dir, "documents")).drop("locator")
 
 
+def op8_warc_archive(spark, sf_dir):
+    return warc.query(runtime.load(spark, sf_dir, "pages"))
+
+
 def op9_url_filters(spark, sf_dir):
     return urls.judge(runtime.load(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("url", "html")
 
@@ -43,4 +51,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": chat.ORACLE}
+    return {"op1_chat_formatting": chat.ORACLE, "op7_exact_dedup": exact.ORACLE, "op8_warc_archive": warc.ORACLE}
