@@ -4,8 +4,8 @@ Bit i of a fingerprint has a non-zero vector m(i) of radius + 1 bits. For each n
 mask holds the bits with an odd product of m(i) and v. At most `radius` differing bits leave a v that is orthogonal to
 all their vectors, so the pair agrees on v's whole mask: every pair within the radius shares a bucket of some table.
 
-Equal fingerprints are one class beforehand. A bucket is linked by a search that compares each class with those not yet
-reached, and gives each component's members a link to its least one. A bucket of more classes than BUCKET is dealt out
+Equal fingerprints are one class beforehand. A bucket gives one link less than each of its components has classes, never
+all pairs. A bucket of more classes than BUCKET is dealt out
 again by masks over the bits that its own mask leaves free, built the same way; what shares a bucket then differs in
 few enough bits that their number is bounded by FREE bits.
 """
@@ -54,29 +54,38 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def components(found: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links (least, other) of each component of distinct fingerprints."""
-    out: list[tuple[int, int]] = []
+def components(found: np.ndarray, radius: int, star: bool = True) -> list[tuple[int, int]]:
+    """Links of distinct fingerprints, one less than each component has members.
+
+    Each component grows by the fingerprint that is nearest to it (Prim's tree). As a star, its members are linked to
+    its least one; else each is linked to the one that it was nearest to, which is within the radius.
+    """
     if len(found) == 2:
-        a, b = int(found[0]), int(found[1])
-        return [(min(a, b), max(a, b))] if ((a ^ b) & (1 << 64) - 1).bit_count() <= radius else []
+        a, b = sorted(map(int, found))
+        return [(a, b)] if ((a ^ b) & (1 << 64) - 1).bit_count() <= radius else []
     left = np.sort(found)
+    out: list[tuple[int, int]] = []
     while len(left):
-        least, queue, left = left[0], [left[0]], left[1:]
-        while queue and len(left):
-            near = np.bitwise_count((left ^ queue.pop()).view(np.uint64)) <= radius
-            if near.any():
-                reached = left[near]
-                out += [(int(least), int(x)) for x in reached]
-                queue += list(reached)
-                left = left[~near]
+        centre = last = left[0]
+        left = left[1:]
+        far, nearest = np.full(len(left), 65, np.uint8), np.full(len(left), centre)
+        while len(left):
+            apart = np.bitwise_count((left ^ last).view(np.uint64))
+            closer = apart < far
+            far[closer], nearest[closer] = apart[closer], last
+            i = int(far.argmin())
+            if far[i] > radius:
+                break
+            last = left[i]
+            out.append((int(centre), int(last)) if star else tuple(sorted((int(nearest[i]), int(last)))))
+            left, far, nearest = np.delete(left, i), np.delete(far, i), np.delete(nearest, i)
     return out
 
 
 LINKS = "a long, b long, bucket int, fp long"
 
 
-def _link(dealt: DataFrame, radius: int, most: int | None) -> DataFrame:
+def _link(dealt: DataFrame, radius: int, most: int | None, star: bool) -> DataFrame:
     """Links within buckets (bucket, key, fp), or, of buckets of over `most` classes, their members for another round."""
 
     def run(batches):
@@ -87,7 +96,7 @@ def _link(dealt: DataFrame, radius: int, most: int | None) -> DataFrame:
         def close():
             nonlocal held, size, passed
             if size > 1 and not passed:
-                for x, y in components(np.concatenate(held), radius):
+                for x, y in components(np.concatenate(held), radius, star):
                     a.append(x)
                     b.append(y)
             held, size, passed = [], 0, False
@@ -129,11 +138,14 @@ def _link(dealt: DataFrame, radius: int, most: int | None) -> DataFrame:
     return dealt.repartition("bucket", "key").sortWithinPartitions("bucket", "key").mapInArrow(run, LINKS)
 
 
-def links(classes: DataFrame, radius: int = RADIUS, most: int = BUCKET) -> DataFrame:
-    """Links (a, b), a below b, whose components are those of all pairs of distinct fingerprints (fp) within the radius."""
+def links(classes: DataFrame, radius: int = RADIUS, most: int = BUCKET, star: bool = True) -> DataFrame:
+    """Links (a, b), a below b, whose components are those of all pairs of distinct fingerprints (fp) within the radius.
+
+    Not as stars, every link is itself such a pair.
+    """
     masks = covering_masks(list(range(64)), radius)
     dealt = classes.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("bucket"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(masks)))).alias("x")).select("x.bucket", "x.key", "fp")
-    first = runtime.written(_link(dealt, radius, most), "simhash-links")
+    first = runtime.written(_link(dealt, radius, most, star), "simhash-links")
     found = first.where("a is not null").select("a", "b")
     large = first.where("fp is not null")
     if not large.isEmpty():
@@ -141,10 +153,42 @@ def links(classes: DataFrame, radius: int = RADIUS, most: int = BUCKET) -> DataF
         table = F.array(*(F.array(*(F.lit(signed(masks[i] | s)) for s in sub)) for i, sub in enumerate(free)))
         again = large.select("bucket", "fp", F.posexplode(F.element_at(table, F.col("bucket") + 1)).alias("j", "mask"))
         again = again.select((F.col("bucket") * F.lit(len(masks)) + F.col("j")).cast("int").alias("bucket"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-        found = found.unionByName(_link(again, radius, None).select("a", "b"))
+        found = found.unionByName(_link(again, radius, None, star).select("a", "b"))
     return found.distinct()
 
 
+def shingles(text: bytes, words: int) -> frozenset:
+    """Distinct runs of so many lower-cased words; of a shorter text the whole."""
+    w = text.lower().split()
+    return frozenset(zip(*(w[i:] for i in range(words)), strict=False)) if len(w) > words else frozenset([tuple(w)])
+
+
+def similar(pairs: DataFrame, bodies: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (a, b) of rows (row, text) whose word shingles have a Jaccard similarity of `least` or more.
+
+    The texts of a's partners are streamed past a's own, so a row with many partners is held once.
+    """
+    first = pairs.select("a").distinct().join(bodies, F.col("a") == F.col("row")).select("a", F.lit(None).cast("long").alias("b"), "text")
+    second = pairs.join(bodies, F.col("b") == F.col("row")).select("a", "b", "text")
+
+    def run(batches):
+        own = frozenset()
+        for batch in batches:
+            out = []
+            for a, b, text in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), rows.raw(batch.column("text")), strict=True):
+                if b is None:
+                    own = shingles(text, words)
+                else:
+                    other = shingles(text, words)
+                    both = len(own & other)
+                    if both >= least * (len(own) + len(other) - both):
+                        out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    return first.unionByName(second).repartition("a").sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long")
+
+
 def connected(pairs: DataFrame) -> DataFrame:
     """Component label (the least member) of each node of the links, as (node, label), by alternating stars.
 
@@ -195,10 +239,41 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
     return prints.join(answer, "fp").select("doc_id", "locator", digits("fp").alias("fingerprint"), "component_id", digits("label").alias("cluster"))
 
 
+def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", *, shingle: int, radius: int, words: int = 5, least: float = 0.8, most: int = BUCKET) -> DataFrame:
+    """Rows that are in a group of near copies: doc_id, locator, group.
+
+    Candidates are what covering hashing finds within the radius: trees of nearest fingerprints in each bucket, and the
+    rows of one fingerprint with its first. Those whose shingles of `words` words are similar enough are links. Edge
+    cases are those of near_duplicates.
+    """
+    runtime.prepare(docs.sparkSession)
+    located = rows.with_locator(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "locator")
+
+    def make():
+        return lambda batch: [pa.array([signed(fingerprint(x, shingle)) for x in rows.raw(batch.column("text"))], pa.int64())]
+
+    printed = rows.appended(located, [T.StructField("fp", T.LongType())], make, keep=["doc_id", "locator"])
+    prints = runtime.written(printed.withColumn("row", F.monotonically_increasing_id()), "simhash-prints")
+    classes = runtime.written(prints.groupBy("fp").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-classes")
+    found = links(classes, radius, most, star=False)
+    place = lambda c: classes.select(F.col("fp").alias(c), F.col("first").alias(f"row_{c}"))
+    across = found.join(place("a"), "a").join(place("b"), "b").select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
+    within = prints.join(classes.where("n > 1"), "fp").where(F.col("row") != F.col("first")).select(F.col("first").alias("a"), F.col("row").alias("b"))
+    pairs = runtime.written(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(within), "simhash-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    known = runtime.written(prints.select("row", "locator").join(wanted, "row"), "simhash-wanted")
+    bodies = located.select(F.col("locator").alias("at"), "text").join(runtime.if_small(known), F.col("at") == F.col("locator")).select("row", "text")
+    labels = connected(similar(pairs, runtime.written(bodies, "simhash-bodies"), words, least))
+    return prints.join(labels.select(F.col("node").alias("row"), F.col("label").alias("group")), "row").select("doc_id", "locator", "group")
+
+
 def kept_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """One row of each component, with all its columns: the one of the smallest identifier, of repeated ones the first place."""
-    found = runtime.written(near_duplicates(docs, text, key, **how), "simhash-found")
-    first = found.groupBy("cluster").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "locator")).alias("s"))
+    """One row of each group of near copies, with all its columns, and every row that is in none.
+
+    The row of the smallest identifier stays (null last), of repeated ones the first place.
+    """
+    found = runtime.written(similar_groups(docs, text, key, **how), "simhash-found")
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "locator")).alias("s"))
     dropped = found.join(first.select(F.col("s.locator").alias("locator")), "locator", "left_anti").select(F.col("locator").alias("__dropped"))
     mark = rows.free_name(docs, "locator")
     return rows.with_locator(docs, mark).join(runtime.if_small(runtime.written(dropped, "simhash-dropped")), F.col(mark) == F.col("__dropped"), "left_anti").drop(mark)
