@@ -106,6 +106,7 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", *, dig
     makes digests collide, for tests of the comparison of bytes.
     """
     spark = runtime.prepare(docs.sparkSession)
+    docs = rows.settled(docs)
     folder = runtime.shared_dir(spark, "exact")
     keys = _keys(docs, digest_bytes, text, key)
     keys.write.parquet(f"{folder}/keys")
@@ -132,6 +133,7 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", *, dig
 
 def kept_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows that stay, with all their columns."""
+    docs = rows.settled(docs)
     dropped = deduplicate(docs, text, key).where(~F.col("kept")).select(F.col("locator").alias("__dropped"))
     dropped = runtime.written(dropped, "exact-dropped")
     mark = rows.free_name(docs, "locator")

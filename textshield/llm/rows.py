@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textshield import runtime
+
 
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that the table does not have yet (names are compared without case)."""
@@ -19,15 +21,21 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
-def with_locator(df: DataFrame, name: str) -> DataFrame:
-    """Add where a row's content is: its file and place there, or for other inputs its partition and place.
+def settled(df: DataFrame) -> DataFrame:
+    """The table itself if its rows come straight from files, else as written to the shared folder.
 
-    Both are the same whenever the same input is read again, so a locator found in one pass finds the row in another.
+    Only rows of files have a place that is the same in every pass, whatever columns a pass reads.
     """
     try:
-        return df.withColumn(name, F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")))
+        df.select("_metadata.file_path", "_metadata.row_index")
     except AnalysisException:
-        return df.withColumn(name, F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string")))
+        return runtime.written(df, "settled")
+    return df
+
+
+def with_locator(df: DataFrame, name: str) -> DataFrame:
+    """Add where a row's content is, of a settled table: its file and its place there."""
+    return df.withColumn(name, F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")))
 
 
 def appended(df: DataFrame, add: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]], *, keep: list[str] | None = None) -> DataFrame:

@@ -51,13 +51,18 @@ def _measured(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def place(items: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each item, a row of non-negative amounts; amounts of a dimension sum to all there is."""
+    """The shard of each item, a row of non-negative amounts; amounts of a dimension sum to all there is.
+
+    A shard is closed to an item that exceeds its residual of the first dimension, while another has room: that
+    dimension comes out near equal, the others as far as the dot product can balance them beside it.
+    """
     total = np.maximum(items.sum(0), 1)
     part = items / total * shards  # a shard's fair share is 1 in each dimension
     residual = np.ones((shards, items.shape[1]))
     out = np.zeros(len(items), int)
     for i in np.lexsort((np.arange(len(items)), -part.sum(1), -part.max(1))):
-        best = int((residual @ part[i]).argmax())
+        fits = residual[:, 0] >= part[i, 0]
+        best = int(np.where(fits, residual @ part[i], -np.inf).argmax() if fits.any() else residual[:, 0].argmax())
         residual[best] -= part[i]
         out[i] = best
     return out

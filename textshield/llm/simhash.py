@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
     is the smallest (null) only where a component has no other. Other columns are not read; an empty table gives no rows.
     """
     runtime.prepare(docs.sparkSession)
-    located = rows.with_locator(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "locator")
+    located = rows.with_locator(rows.settled(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "locator")
 
     def make():
         return lambda batch: [pa.array([signed(fingerprint(x, shingle)) for x in rows.raw(batch.column("text"))], pa.int64())]
@@ -247,7 +247,7 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
     cases are those of near_duplicates.
     """
     runtime.prepare(docs.sparkSession)
-    located = rows.with_locator(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "locator")
+    located = rows.with_locator(rows.settled(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "locator")
 
     def make():
         return lambda batch: [pa.array([signed(fingerprint(x, shingle)) for x in rows.raw(batch.column("text"))], pa.int64())]
@@ -272,6 +272,7 @@ def kept_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -
 
     The row of the smallest identifier stays (null last), of repeated ones the first place.
     """
+    docs = rows.settled(docs)
     found = runtime.written(similar_groups(docs, text, key, **how), "simhash-found")
     first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "locator")).alias("s"))
     dropped = found.join(first.select(F.col("s.locator").alias("locator")), "locator", "left_anti").select(F.col("locator").alias("__dropped"))

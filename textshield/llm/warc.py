@@ -63,7 +63,7 @@ def write_archive(pages: DataFrame, folder: str, url: str = "url", body: str = "
     more copies exist than may be sent to the tasks.
     """
     runtime.prepare(pages.sparkSession)
-    full = _measured(pages, url, body, key)
+    full = _measured(rows.settled(pages), url, body, key)
     slim = runtime.written(full.drop("payload"), "archive-slim")
     first = slim.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "locator")).alias("first"))
     typed = slim.join(first, "digest").withColumn("copy", F.col("locator") != F.col("first.locator"))
