@@ -25,7 +25,7 @@ from textshield.llm import rows
 SHINGLE, RADIUS, SEED = 3, 3, 42
 
 #: Classes in a bucket that are compared at once; larger buckets are dealt out again.
-BUCKET = 4096
+BUCKET = 16384
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -138,6 +138,21 @@ def _link(dealt: DataFrame, radius: int, most: int | None, star: bool) -> DataFr
     return dealt.repartition("bucket", "key").sortWithinPartitions("bucket", "key").mapInArrow(run, LINKS)
 
 
+def _dealt_again(members: DataFrame, masks: list[int], radius: int) -> DataFrame:
+    """Members of large buckets by masks that cover the bits which their bucket's mask leaves free."""
+
+    def run(batches):
+        for batch in batches:
+            bucket, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "fp"))
+            for i in np.unique(bucket):
+                mine = fp[bucket == i].astype(np.int64)
+                for j, sub in enumerate(covering_masks([b for b in range(64) if not masks[int(i)] >> b & 1], radius)):
+                    key = mine & np.int64(signed(masks[int(i)] | sub))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), int(i) * len(masks) + j, np.int32)), pa.array(key), pa.array(mine)], ["bucket", "key", "fp"])
+
+    return members.select("bucket", "fp").mapInArrow(run, "bucket int, key long, fp long")
+
+
 def links(classes: DataFrame, radius: int = RADIUS, most: int = BUCKET, star: bool = True) -> DataFrame:
     """Links (a, b), a below b, whose components are those of all pairs of distinct fingerprints (fp) within the radius.
 
@@ -149,11 +164,7 @@ def links(classes: DataFrame, radius: int = RADIUS, most: int = BUCKET, star: bo
     found = first.where("a is not null").select("a", "b")
     large = first.where("fp is not null")
     if not large.isEmpty():
-        free = [covering_masks([b for b in range(64) if not m >> b & 1], radius) for m in masks]
-        table = F.array(*(F.array(*(F.lit(signed(masks[i] | s)) for s in sub)) for i, sub in enumerate(free)))
-        again = large.select("bucket", "fp", F.posexplode(F.element_at(table, F.col("bucket") + 1)).alias("j", "mask"))
-        again = again.select((F.col("bucket") * F.lit(len(masks)) + F.col("j")).cast("int").alias("bucket"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-        found = found.unionByName(_link(again, radius, None, star).select("a", "b"))
+        found = found.unionByName(_link(_dealt_again(large, masks, radius), radius, None, star).select("a", "b"))
     return found.distinct()
 
 
