@@ -16,8 +16,8 @@ from textshield.llm import exact, langid, packing, quality, simhash
 LEAST_COSINE = 0.25
 
 #: Near copies: fingerprints of two-word shingles within this many bits are candidates, those whose five-word shingles
-#: have this Jaccard similarity are copies. Two words and seven bits reach pairs down to that similarity (README).
-SHINGLE, RADIUS, WORDS, SIMILARITY = 2, 7, 5, 0.8
+#: have this Jaccard similarity are copies (README: how many such pairs each radius reaches).
+SHINGLE, RADIUS, WORDS, SIMILARITY = 2, 6, 5, 0.8
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
