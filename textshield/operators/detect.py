@@ -146,19 +146,19 @@ def detect(df: DataFrame, text: str, into: str = "detected", *, threshold: float
     folded copy where it isn't the text's own.
     """
     t = F.col(text)
-    df = df.withColumn("__signals", _signals(t, also, fold, tuple(signatures)))
-    found = [described(F.col("__signals.hits"), signatures)]
+    df = df.withColumn("__dt_signals", _signals(t, also, fold, tuple(signatures)))
+    found = [described(F.col("__dt_signals.hits"), signatures)]
     if extra is not None:
         found.insert(0, extra)
     if use_heuristics:
-        found.append(heuristics(F.col("__signals"), t))
-    df = df.withColumn("__found", F.concat(*found))
-    df = df.withColumn("__score", C.noisy_or(F.col("__found.weight")))
-    result = F.struct(F.col("__score").alias("score"), C.bucket(F.col("__score")).alias("risk"), ((F.col("__score") >= threshold) | C.any_high(F.col("__found"))).alias("injected"), F.lit(float(threshold)).alias("threshold"), F.col("__found").alias("findings"))
-    return df.withColumn(into, F.when(t.isNotNull(), result)).drop("__signals", "__found", "__score")
+        found.append(heuristics(F.col("__dt_signals"), t))
+    df = df.withColumn("__dt_found", F.concat(*found))
+    df = df.withColumn("__dt_score", C.noisy_or(F.col("__dt_found.weight")))
+    result = F.struct(F.col("__dt_score").alias("score"), C.bucket(F.col("__dt_score")).alias("risk"), ((F.col("__dt_score") >= threshold) | C.any_high(F.col("__dt_found"))).alias("injected"), F.lit(float(threshold)).alias("threshold"), F.col("__dt_found").alias("findings"))
+    return df.withColumn(into, F.when(t.isNotNull(), result)).drop("__dt_signals", "__dt_found", "__dt_score")
 
 
 def scan(df: DataFrame, text: str = "text", into: str = "scan", *, threshold: float = 0.5) -> DataFrame:
     """Sanitize and detect, without a cap on length."""
-    df = sanitize(df, text, "__clean")
-    return detect(df.withColumn("__clean_text", F.col("__clean.text")), "__clean_text", into, threshold=threshold, extra=F.col("__clean.findings")).drop("__clean", "__clean_text")
+    df = sanitize(df, text, "__dt_clean")
+    return detect(df.withColumn("__dt_text", F.col("__dt_clean.text")), "__dt_text", into, threshold=threshold, extra=F.col("__dt_clean.findings")).drop("__dt_clean", "__dt_text")

@@ -205,7 +205,7 @@ def slim(assessed: DataFrame) -> DataFrame:
     return assessed.select(
         F.col("session_id").cast("string").alias("session_id"),
         F.col("seq").cast("long").alias("seq"),
-        F.unix_micros("ts").alias("micros"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
         "kind",
         "tool",
         F.coalesce("risk", F.lit(RISKS[0])).alias("risk"),

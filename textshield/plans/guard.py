@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textshield import runtime
 from textshield.functions import columns as C
 from textshield.operators import detect as D
 from textshield.operators import prompt as P
@@ -121,11 +122,14 @@ class Guard:
         return asked.mapInPandas(run, T.StructType([asked.schema[key], T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())]))
 
     def summarize(self, df: DataFrame, model: Model | None = None) -> DataFrame:
-        """Ask the model for all rows that are not blocked, and give one verdict for each row."""
-        if self.config.secret_seed is None:
-            raise ValueError("summarize reads prepared rows twice: set secret_seed, or use prepare, write, ask and finalize")
-        prepared = self.prepare(df)
-        replies = self.ask(prepared, model)
+        """Ask the model for all rows that are not blocked, and give one verdict for each row.
+
+        Prepared rows and replies are written to the shared folder: a secret is drawn, and a model asked, once for each row.
+        """
+        if (model or self.model) is None:
+            raise ValueError("no model: give one to the guard or to the call, or use prepare and finalize")
+        prepared = runtime.written(self.prepare(df), "prepared")
+        replies = runtime.written(self.ask(prepared, model), "replies")
         done = self._assemble(self._validated(prepared.where(~F.col("blocked")).join(replies, self.key)))
         held = prepared.where("blocked").withColumns({"reply": F.lit(None).cast("string"), "error": F.lit(None).cast("string"), "validation": F.lit(None).cast(done.schema["validation"].dataType)})
         return done.unionByName(self._assemble(held))
