@@ -115,6 +115,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
                     sums[name] = sums.get(name, 0) + v.astype(np.float64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["name", "v"])
+        rows.release()
 
     parts = sample.mapInArrow(run, "name string, v array<double>")
     summed = parts.select("name", F.posexplode("v").alias("i", "x")).groupBy("name", "i").agg(F.sum("x").alias("x"))
@@ -122,7 +123,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     if len(found) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     names = [r["name"] for r in found]
-    return names, np.array([[x["x"] for x in r["v"]] for r in found], np.float64).reshape(len(names), -1)
+    return names, np.array([[x["x"] for x in r["v"]] for r in found], np.float64).reshape(len(names), DIMENSIONS)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", language: str = "lang_pred", score: str = "score") -> DataFrame:

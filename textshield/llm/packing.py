@@ -27,7 +27,7 @@ from textshield.llm import bpe, rows
 CAPACITY, END = 4096, 1
 
 #: Chunks of texts kept with their ids by one worker.
-CHUNKS_KEPT = 700_000
+CHUNKS_KEPT = 250_000
 
 
 class LibraryIds:
@@ -208,6 +208,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, t
             if out:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "rank", "task"])
+        rows.release()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +15,15 @@ from pyspark.sql import types as T
 from textshield import runtime
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system: workers live on, beside the next stage's heap."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that the table does not have yet (names are compared without case)."""
     taken, name = {c.lower() for c in df.columns}, wanted
@@ -53,6 +64,8 @@ def appended(df: DataFrame, add: list[T.StructField], make: Callable[[], Callabl
             if batch.num_rows:
                 made = each(batch)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *made], [*rest, *(f.name for f in add)])
+        del each
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -60,13 +73,13 @@ def appended(df: DataFrame, add: list[T.StructField], make: Callable[[], Callabl
 def labelled_sample(docs: DataFrame, label: str, key: str, per_label: int) -> DataFrame:
     """About per_label rows of each label at most (never over twice as many), chosen by a hash of the key alone.
 
-    One pass over the label column counts; each label then keeps the hashes below per_label / count.
-    The counts that are sent to the executors have one row for each label.
+    Passes over the label column alone count; each label then keeps the hashes below per_label / count. The counts, one
+    row for each label, are broadcast where there are few enough of them.
     """
     counts = docs.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("__label")).count()
     shares = counts.select("__label", (F.least(F.lit(1.0), F.lit(float(per_label)) / F.col("count")) * F.lit(float(1 << 31))).cast("long").alias("__below"))
     point = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 31))
-    return docs.join(F.broadcast(shares), F.col(label) == F.col("__label")).where(point < F.col("__below")).drop("__label", "__below")
+    return docs.join(runtime.if_small(shares), F.col(label) == F.col("__label")).where(point < F.col("__below")).drop("__label", "__below")
 
 
 def texts(column: pa.Array) -> list[str]:
