@@ -6,8 +6,10 @@ all their vectors, so the pair agrees on v's whole mask: every pair within the r
 
 Equal fingerprints are one class beforehand. A bucket gives one link less than each of its components has classes, never
 all pairs. A bucket of more classes than BUCKET is dealt out
-again by masks over the bits that its own mask leaves free, built the same way; what shares a bucket then differs in
-few enough bits that their number is bounded by FREE bits.
+again by masks over the bits that its own mask leaves free, built the same way; what shares a bucket then is compared at
+once, however many classes it has.
+
+Where a link counts only if the texts are similar too (similar_groups), a tree is not enough: see there.
 """
 
 from __future__ import annotations
@@ -168,6 +170,144 @@ def links(classes: DataFrame, radius: int = RADIUS, most: int = BUCKET, star: bo
     return found.distinct()
 
 
+#: A bucket gives all its pairs at once if they are at most so many for each of its classes.
+DENSE = 4
+
+
+def near(found: np.ndarray, radius: int, labels: np.ndarray | None = None):
+    """All pairs of sorted distinct fingerprints within the radius, as arrays (a, b), block by block.
+
+    With labels only those of different ones; label -1 differs from all.
+    """
+    step = max(1, (1 << 20) // max(1, len(found)))
+    for s in range(0, len(found) - 1, step):
+        i, j = np.nonzero(np.bitwise_count((found[s : s + step, None] ^ found[None, s + 1 :]).view(np.uint64)) <= radius)
+        i, j = i[j >= i] + s, j[j >= i] + s + 1
+        if labels is not None:
+            differ = (labels[i] != labels[j]) | (labels[i] < 0)
+            i, j = i[differ], j[differ]
+        if len(i):
+            yield found[i], found[j]
+
+
+def _buckets(batches, names: tuple[str, ...], most: int | None):
+    """Buckets of two rows or more of sorted batches: bucket, key, columns, and whether it is one of over `most` rows, which comes in pieces."""
+    at, held, size = None, [], 0
+
+    def joined():
+        return at[0], at[1], [np.concatenate(x) for x in zip(*held, strict=True)], bool(most and size > most)
+
+    for batch in batches:
+        bucket, key, *columns = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "key", *names))
+        if not len(bucket):
+            continue
+        cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1])) + 1
+        starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(bucket)]])
+        whole = (ends - starts > 1) | (starts == 0) | (ends == len(bucket))  # others are alone
+        for s, e in zip(starts[whole], ends[whole], strict=True):
+            here = (int(bucket[s]), int(key[s]))
+            if here != at:
+                if held and size > 1:
+                    yield joined()
+                at, held, size = here, [], 0
+            held.append([c[s:e] for c in columns])
+            size += e - s
+            if most and size > most:
+                yield joined()
+                held = []
+    if held and size > 1:
+        yield joined()
+
+
+COMPARED = "a long, b long, bucket int, key long, fp long, large boolean"
+
+
+def _dealt(classes: DataFrame, masks: list[int]) -> DataFrame:
+    """Each fingerprint once for each mask; the masks are no part of the plan."""
+
+    def run(batches):
+        by = np.array([signed(m) for m in masks], np.int64)
+        for batch in batches:
+            fp = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
+            for at in range(0, len(fp), 512):
+                x = fp[at : at + 512]
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(len(by), dtype=np.int32), len(x))), pa.array((x[:, None] & by[None, :]).ravel()), pa.array(np.repeat(x, len(by)))], ["bucket", "key", "fp"])
+        rows.release()
+
+    return classes.select("fp").mapInArrow(run, "bucket int, key long, fp long")
+
+
+def _compare(dealt: DataFrame, radius: int, most: int | None, dense: int) -> DataFrame:
+    """All pairs of each bucket (a, b); of a dense one a tree and its members, of one of over `most` classes its members."""
+
+    def run(batches):
+        out, rows_ = [], 0
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*out, strict=True)], ["a", "b", "bucket", "key", "fp", "large"])
+
+        def pairs(a, b):
+            n = len(a)
+            out.append([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())])
+            return n
+
+        def members(bucket, key, fp, large):
+            n = len(fp)
+            out.append([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, bucket, np.int32)), pa.array(np.full(n, key, np.int64)), pa.array(fp, pa.int64()), pa.array(np.full(n, large))])
+            return n
+
+        for bucket, key, (fp,), large in _buckets(batches, ("fp",), most):
+            if large:
+                rows_ += members(bucket, key, fp, True)
+            else:
+                fp, found, n = np.sort(fp), [], 0
+                for a, b in near(fp, radius):
+                    found.append((a, b))
+                    n += len(a)
+                    if n > dense * len(fp):
+                        break
+                if n > dense * len(fp):
+                    tree = components(fp, radius, star=False)
+                    rows_ += pairs(*map(list, zip(*tree, strict=True))) + members(bucket, key, fp, False)
+                else:
+                    rows_ += sum(pairs(a, b) for a, b in found)
+            if rows_ >= 20_000:
+                yield made()
+                out, rows_ = [], 0
+        if out:
+            yield made()
+        del out
+        rows.release()
+
+    return dealt.repartition("bucket", "key").sortWithinPartitions("bucket", "key").mapInArrow(run, COMPARED)
+
+
+def candidates(classes: DataFrame, radius: int, most: int = BUCKET, dense: int = DENSE) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of distinct fingerprints (fp) within the radius, and members (bucket, key, fp) of dense buckets.
+
+    Every pair within the radius is among the former or shares a bucket of the latter, which then gave a tree only.
+    """
+    masks = covering_masks(list(range(64)), radius)
+    found = runtime.written(_compare(_dealt(classes, masks), radius, most, dense), "simhash-compared")
+    large = found.where("large")
+    if not large.isEmpty():
+        found = found.unionByName(runtime.written(_compare(_dealt_again(large, masks, radius), radius, None, dense).withColumn("bucket", F.col("bucket") + len(masks)), "simhash-compared"))
+    return found.where("a is not null").select("a", "b").distinct(), found.where("not large").select("bucket", "key", "fp")
+
+
+def apart(dense: DataFrame, labels: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) within the radius that share a dense bucket and differ in their label (fp, label; -1 differs from all)."""
+
+    def run(batches):
+        for _, _, (fp, label), _ in _buckets(batches, ("fp", "label"), None):
+            order = np.argsort(fp)
+            for a, b in near(fp[order], radius, label[order]):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        rows.release()
+
+    return dense.join(labels, "fp").select("bucket", "key", "fp", "label").repartition("bucket", "key").sortWithinPartitions("bucket", "key").mapInArrow(run, "a long, b long").distinct()
+
+
 def shingles(text: bytes, words: int) -> frozenset:
     """Distinct runs of so many lower-cased words; of a shorter text the whole."""
     w = text.lower().split()
@@ -196,6 +336,7 @@ def similar(pairs: DataFrame, bodies: DataFrame, words: int, least: float) -> Da
                         out.append((a, b))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+        rows.release()
 
     return first.unionByName(second).repartition("a").sortWithinPartitions("a", "b").mapInArrow(run, "a long, b long")
 
@@ -250,12 +391,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
     return prints.join(answer, "fp").select("doc_id", "locator", digits("fp").alias("fingerprint"), "component_id", digits("label").alias("cluster"))
 
 
-def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", *, shingle: int, radius: int, words: int = 5, least: float = 0.8, most: int = BUCKET) -> DataFrame:
+def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", *, shingle: int, radius: int, words: int = 5, least: float = 0.8, most: int = BUCKET, dense: int = DENSE) -> DataFrame:
     """Rows that are in a group of near copies: doc_id, locator, group.
 
-    Candidates are what covering hashing finds within the radius: trees of nearest fingerprints in each bucket, and the
-    rows of one fingerprint with its first. Those whose shingles of `words` words are similar enough are links. Edge
-    cases are those of near_duplicates.
+    Candidates are all pairs of rows whose fingerprints are within the radius; those whose shingles of `words` words
+    are similar enough are links. First the first rows of each two classes (of a dense bucket, those of a tree) and the
+    rows of one class with its first are compared. Then, so that no link is missed, every candidate that was not
+    compared and whose rows are still in different groups. Edge cases are those of near_duplicates.
     """
     runtime.prepare(docs.sparkSession)
     located = rows.with_locator(rows.settled(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "locator")
@@ -266,15 +408,31 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
     printed = rows.appended(located, [T.StructField("fp", T.LongType())], make, keep=["doc_id", "locator"])
     prints = runtime.written(printed.withColumn("row", F.monotonically_increasing_id()), "simhash-prints")
     classes = runtime.written(prints.groupBy("fp").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-classes")
-    found = links(classes, radius, most, star=False)
-    place = lambda c: classes.select(F.col("fp").alias(c), F.col("first").alias(f"row_{c}"))
-    across = found.join(place("a"), "a").join(place("b"), "b").select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
+
+    def verified(pairs):
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+        known = runtime.written(prints.select("row", "locator").join(wanted, "row"), "simhash-wanted")
+        bodies = located.select(F.col("locator").alias("at"), "text").join(runtime.if_small(known), F.col("at") == F.col("locator")).select("row", "text")
+        return runtime.written(similar(pairs, runtime.written(bodies, "simhash-bodies"), words, least), "simhash-similar")
+
+    found, crowded = candidates(classes, radius, most, dense)
+    found = runtime.written(found, "simhash-found-pairs")
+    place = lambda c: classes.select(F.col("fp").alias(c), F.col("first").alias(f"row_{c}"), F.col("n").alias(f"n_{c}"))
+    placed = found.join(place("a"), "a").join(place("b"), "b")
     within = prints.join(classes.where("n > 1"), "fp").where(F.col("row") != F.col("first")).select(F.col("first").alias("a"), F.col("row").alias("b"))
-    pairs = runtime.written(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(within), "simhash-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    known = runtime.written(prints.select("row", "locator").join(wanted, "row"), "simhash-wanted")
-    bodies = located.select(F.col("locator").alias("at"), "text").join(runtime.if_small(known), F.col("at") == F.col("locator")).select("row", "text")
-    labels = connected(similar(pairs, runtime.written(bodies, "simhash-bodies"), words, least))
+    pairs = runtime.written(placed.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).unionByName(within), "simhash-pairs")
+    links_ = verified(pairs)
+    labels = connected(links_)
+
+    grouped = prints.select("row", "fp").join(labels.withColumnRenamed("node", "row"), "row", "left").select("row", "fp", F.coalesce("label", "row").alias("group"))
+    grouped = runtime.written(grouped, "simhash-grouped")
+    of_class = runtime.written(grouped.groupBy("fp").agg(F.min("group").alias("g"), F.max("group").alias("h")).select("fp", F.when(F.col("g") == F.col("h"), F.col("g")).otherwise(F.lit(-1)).alias("label")), "simhash-of-class")
+    more = apart(crowded, of_class, radius)
+    side = lambda c: grouped.select(F.col("fp").alias(c), F.col("row").alias(f"row_{c}"), F.col("group").alias(f"group_{c}"))
+    open_ = more.join(side("a"), "a").join(side("b"), "b").where("group_a != group_b and (a != b or row_a < row_b)")
+    left = runtime.written(open_.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).join(pairs, ["a", "b"], "left_anti"), "simhash-pairs")
+    if not left.isEmpty():
+        labels = connected(links_.unionByName(verified(left)))
     return prints.join(labels.select(F.col("node").alias("row"), F.col("label").alias("group")), "row").select("doc_id", "locator", "group")
 
 
