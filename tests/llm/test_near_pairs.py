@@ -38,6 +38,17 @@ def between():
             return [c, a, b]
 
 
+def one_class():
+    """Rows of one fingerprint, of which only the later two are alike."""
+    r = random.Random(4)
+    a = [" ".join(r.sample(WORDS, 2)) for _ in range(40)]
+    first = text(a)
+    r.shuffle(a)
+    second = text(a)
+    a[3], a[4] = a[4], a[3]
+    return [first, second, text(a)]
+
+
 def groups(texts, radius=7):
     label = list(range(len(texts)))
     for i in range(len(texts)):
@@ -61,6 +72,29 @@ def test_a_text_between_two_copies_hides_none(spark):
     assert groups(texts) == {frozenset({1, 2})} == found(spark, texts)
 
 
+def test_a_first_row_unlike_the_others_hides_none(spark):
+    texts = one_class()
+    assert len({simhash.fingerprint(t.encode(), 2) for t in texts}) == 1
+    assert groups(texts) == {frozenset({1, 2})} == found(spark, texts)
+
+
+@pytest.mark.parametrize("how", [{"dense": 0}, {"most": 8}, {"most": 8, "dense": 0}])
+def test_crowded_buckets_against_all_pairs(spark, how):
+    r = random.Random(5)
+    texts = between() + one_class()
+    for _ in range(6):
+        a = [" ".join(r.sample(WORDS, 2)) for _ in range(40)]
+        for _ in range(6):
+            if r.random() < 0.5:
+                r.shuffle(a)
+            b = list(a)
+            b[r.randrange(40)] = " ".join(r.sample(WORDS, 2))
+            texts += [text(a), text(b)]
+    texts = sorted(set(texts), key=texts.index)
+    want = groups(texts)
+    assert len(want) > 8 and found(spark, texts, **how) == want
+
+
 @pytest.mark.parametrize("most", [16, 16384])
 def test_candidates_are_all_pairs_within_the_radius(spark, most):
     r = random.Random(6)

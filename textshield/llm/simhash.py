@@ -427,7 +427,9 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
     grouped = prints.select("row", "fp").join(labels.withColumnRenamed("node", "row"), "row", "left").select("row", "fp", F.coalesce("label", "row").alias("group"))
     grouped = runtime.written(grouped, "simhash-grouped")
     of_class = runtime.written(grouped.groupBy("fp").agg(F.min("group").alias("g"), F.max("group").alias("h")).select("fp", F.when(F.col("g") == F.col("h"), F.col("g")).otherwise(F.lit(-1)).alias("label")), "simhash-of-class")
-    more = apart(crowded, of_class, radius)
+    several = placed.where("n_a > 1 or n_b > 1").select("a", "b")
+    mixed = of_class.where("label = -1").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    more = several.unionByName(apart(crowded, of_class, radius)).distinct().unionByName(mixed)
     side = lambda c: grouped.select(F.col("fp").alias(c), F.col("row").alias(f"row_{c}"), F.col("group").alias(f"group_{c}"))
     open_ = more.join(side("a"), "a").join(side("b"), "b").where("group_a != group_b and (a != b or row_a < row_b)")
     left = runtime.written(open_.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).join(pairs, ["a", "b"], "left_anti"), "simhash-pairs")
