@@ -95,6 +95,13 @@ def test_crowded_buckets_against_all_pairs(spark, how):
     assert len(want) > 8 and found(spark, texts, **how) == want
 
 
+@pytest.mark.parametrize("radius", [3, 6, 7])
+def test_masks_are_about_half_of_the_bits(radius):
+    masks = simhash.covering_masks(list(range(64)), radius)
+    assert min(m.bit_count() for m in masks) >= 16 and max(m.bit_count() for m in masks) <= 48
+    assert all(simhash.covering_masks([b for b in range(64) if not m >> b & 1], radius).count(0) == 0 for m in masks)
+
+
 @pytest.mark.parametrize("most", [16, 16384])
 def test_candidates_are_all_pairs_within_the_radius(spark, most):
     r = random.Random(6)

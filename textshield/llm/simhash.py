@@ -14,6 +14,8 @@ Where a link counts only if the texts are similar too (similar_groups), a tree i
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -47,9 +49,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def covering_masks(bits: list[int], radius: int) -> list[int]:
-    """2^(radius + 1) - 1 masks over the given bits; any `radius` of them are outside of one mask."""
+    """2^(radius + 1) - 1 masks over the given bits; any `radius` of them are outside of one mask.
+
+    Where there are more vectors than bits, a fixed permutation spreads the vectors over all dimensions, so that every
+    mask has about half of the bits.
+    """
     n = (1 << radius + 1) - 1
-    return [sum(1 << b for i, b in enumerate(bits) if ((i % n + 1) & v).bit_count() & 1) for v in range(1, n + 1)]
+    vectors = list(range(1, n + 1)) if n < len(bits) else random.Random(SEED).sample(range(1, n + 1), n)
+    return [sum(1 << b for i, b in enumerate(bits) if (vectors[i % n] & v).bit_count() & 1) for v in range(1, n + 1)]
 
 
 def signed(x: int) -> int:
