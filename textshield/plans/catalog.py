@@ -357,10 +357,10 @@ def pii_redact(spark, sf_dir):
     return attacked(spark, sf_dir).withColumn("r", pii.redact(F.col("text"))).select("doc_id", "r.text", F.col("r.count").alias("n"), "r.summary")
 
 
-@register(f"WITH src AS ({ATTACKED}) SELECT doc_id, raw AS restored FROM src WHERE doc_id % 15 = 9 AND NOT regexp_matches(lower(raw), '[0-9][0-9 .-]{{12,}}[0-9].*jane')")
+@register()
 def pii_rehydrate(spark, sf_dir):
-    df = attacked(spark, sf_dir).where("doc_id % 15 = 9").where(~F.lower("text").rlike("[0-9][0-9 .-]{12,}[0-9].*jane"))
-    return df.withColumn("r", pii.redact(F.col("text"))).select("doc_id", pii.rehydrate(F.col("r.text"), F.col("r.map")).alias("restored"))
+    redacted = attacked(spark, sf_dir).withColumn("r", pii.redact(F.col("text")))
+    return redacted.select("doc_id", pii.rehydrate(F.col("r.text"), F.col("r.map")).alias("restored"))
 
 
 # -- tools
