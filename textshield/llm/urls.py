@@ -24,8 +24,8 @@ ALLOW, BLOCK = "allow", "block"
 #: Rules of the query, as (verdict, host and path).
 RULES = ((ALLOW, "com/"), (BLOCK, "example.com/en/"), (ALLOW, "www.example.com/en/"), (BLOCK, "net/es/"), (BLOCK, "net/fr/"))
 
-#: Pages whose words teach the unigram model, labelled urls that teach naive Bayes of each class, words kept: bounds of what is fitted on.
-WORD_PAGES, PER_CLASS, VOCABULARY = 4000, 20_000, 100_000
+#: Labelled urls that teach naive Bayes of each class: the bound of what is fitted on.
+PER_CLASS = 20_000
 
 LONGEST_WORD = 24
 
@@ -70,7 +70,7 @@ class Segmenter:
 
     def __init__(self, counts: dict[str, int]):
         total = sum(counts.values()) + 1
-        self.logp = {w: math.log(n / total) for w, n in counts.items() if len(w) <= LONGEST_WORD}
+        self.logp = {w: math.log(n / total) for w, n in counts.items() if 0 < len(w) <= LONGEST_WORD}
         self.unknown = [math.log(1 / total) - 2.3 * k for k in range(LONGEST_WORD + 1)]
         self.kept: dict[str, list[str]] = {}
 
@@ -99,11 +99,11 @@ def tokens(segmenter: Segmenter, host: str, path: str) -> list[str]:
     return [mark + w for mark, part in (("h:", host), ("p:", path.lower())) for run in _TOKEN.findall(part) for w in (["#"] if run.isdecimal() else segmenter.split(run))]
 
 
-def learn_words(pages: DataFrame, html: str = "html", key: str = "page_id", pages_read: int = WORD_PAGES, vocabulary: int = VOCABULARY) -> dict[str, int]:
-    """Word counts of the texts of about pages_read pages, chosen by a hash of the key; the most frequent are kept."""
-    n = pages.count()
-    point = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("words")), F.lit(1 << 31))
-    sample = pages.select(html, key).where(point < int(min(1.0, pages_read / max(n, 1)) * (1 << 31)))
+def learn_words(pages: DataFrame, html: str = "html", url: str = "url") -> dict[str, int]:
+    """Word counts of the texts of all pages, of words that occur in a run of letters of some url; "" counts the others.
+
+    No other word can be looked up, so that splits are those of the whole table.
+    """
 
     def run(batches):
         for batch in batches:
@@ -113,8 +113,17 @@ def learn_words(pages: DataFrame, html: str = "html", key: str = "page_id", page
             if c:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c)), pa.array(list(c.values()), pa.int64())], ["w", "n"])
 
-    top = sample.mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(vocabulary)
-    return {r["w"]: r["n"] for r in top.collect()}
+    def parts(batches):
+        for batch in batches:
+            runs = {r for x in batch.column(url).to_pylist() for part in split_url(x) for r in _TOKEN.findall(part.lower()) if not r.isdecimal()}
+            found = {r[i:j] for r in runs for i in range(len(r)) for j in range(i + 1, min(len(r), i + LONGEST_WORD) + 1)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["w"])
+
+    counted = runtime.written(pages.select(html).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "url-words")
+    needed = pages.select(url).mapInArrow(parts, "w string").distinct()
+    out = {r["w"]: r["n"] for r in counted.join(needed, "w", "left_semi").collect()}
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    return out | {"": total - sum(out.values())} if total > sum(out.values()) else out
 
 
 def learn_bayes(pages: DataFrame, rules: Rules, segmenter: Segmenter, url: str = "url", key: str = "page_id", per_class: int = PER_CLASS) -> dict[str, dict[str, int]]:
@@ -166,9 +175,9 @@ def judge(pages: DataFrame, given=RULES, url: str = "url", html: str = "html", k
     """
     runtime.prepare(pages.sparkSession)
     rules = Rules(given)
-    segmenter = Segmenter(learn_words(pages, html, key))
+    segmenter = Segmenter(learn_words(pages, html, url))
     bayes = Bayes(learn_bayes(pages, rules, segmenter, url, key))
-    shared = pages.sparkSession.sparkContext.broadcast((rules, segmenter, bayes))  # at most VOCABULARY words and the sample's tokens
+    shared = pages.sparkSession.sparkContext.broadcast((rules, segmenter, bayes))  # words that urls can hold and the sample's tokens
 
     def make():
         rules, segmenter, bayes = shared.value
