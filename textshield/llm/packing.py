@@ -23,40 +23,34 @@ from pyspark.sql import Window
 
 from textshield import runtime
 from textshield.llm import bpe, rows
+from textshield.llm.memo import Ids, Memo, encoded
 
 CAPACITY, END = 4096, 1
 
-#: Chunks of texts kept with their ids by one worker.
-CHUNKS_KEPT = 250_000
-
-
 class LibraryIds:
-    """Ids as the tokenizers library makes them; chunks between white space are asked once and kept."""
+    """Ids as the tokenizers library makes them; of texts that can be split at white space, each word is asked once and kept."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.kept, self.old = Tokenizer.from_str(spec), {}, {}
+        self.library, form = Tokenizer.from_str(spec), bpe.Form(spec)
+        self.model = self.library.model
+        self.letters = dict(enumerate(bpe.byte_letters()))
+        self.chunks = Memo.of_chunks(Memo(self._words), self._each) if form.by_chunk else None
+
+    def _each(self, texts: pa.Array) -> Ids:
+        return encoded([x.ids for x in self.library.encode_batch_fast(rows.texts(texts), add_special_tokens=False)])
 
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in found]
+    def _words(self, words: pa.Array) -> Ids:
+        """Ids of single words: the model alone takes them in the letters that stand for their bytes."""
+        ask = self.model.tokenize
+        shown = (w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in words.to_pylist())
+        return encoded([[t.id for t in ask(w)] for w in shown])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of whole texts. A text with unusual characters or control strings goes to the library whole."""
-        usual = [None if "<|" in x or bpe._UNUSUAL.search(x) else x.lower().split() for x in texts]
-        if len(self.kept) > CHUNKS_KEPT // 2:
-            self.kept, self.old = {}, self.kept
-        kept, old = self.kept, self.old
-        missing = set().union(*(x for x in usual if x)).difference(kept)
-        for c in [c for c in missing if c in old]:
-            kept[c] = old[c]
-            missing.discard(c)
-        asked = list(missing)
-        kept.update(zip(asked, self._ask(asked), strict=True))
-        whole = iter(self._ask([x for x, u in zip(texts, usual, strict=True) if u is None]))
-        return [next(whole) if u is None else b"".join(map(kept.__getitem__, u)) for u in usual]
+    def encode(self, texts: pa.Array) -> Ids:
+        """The ids of whole texts (null: none) as one array, and where each text's begin and the last's end."""
+        return self.chunks.of_texts(texts) if self.chunks else self._each(texts)
 
 
 _ids: dict[int, LibraryIds] = {}
@@ -198,13 +192,19 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, t
         library, task, ranks = library_ids(spec.value), TaskContext.get().partitionId(), {}
         for batch in batches:
             out: list[tuple] = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), library.encode(rows.texts(batch.column("text"))), strict=True):
-                ids += end
-                for i, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    n = len(part) // 4
-                    ranks[n] = rank = ranks.get(n, -1) + 1
-                    out.append((doc, i, at // 4, n, zlib.crc32(part), rank, task))
+            names, at = batch.column("doc_id").to_pylist(), 0
+            for part in rows.slices(batch.column("text")):
+                ids, ends = library.encode(part)
+                packed = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+                for doc, a, b in zip(names[at : at + len(part)], ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    for i, s in enumerate(range(a, b + 1, capacity)):  # the end token is at b
+                        stop = min(s + capacity, b + 1)
+                        crc = zlib.crc32(packed[4 * s : 4 * min(stop, b)])
+                        if stop > b:
+                            crc = zlib.crc32(end, crc)
+                        ranks[stop - s] = rank = ranks.get(stop - s, -1) + 1
+                        out.append((doc, i, s - a, stop - s, crc, rank, task))
+                at += len(part)
             if out:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "rank", "task"])

@@ -6,7 +6,9 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from textshield import runtime
 def release() -> None:
     """Give memory that a task no longer uses back to the system: workers live on, beside the next stage's heap."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
@@ -87,6 +90,20 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+#: Bytes of text that are split or counted at once; a longer text makes a slice of its own.
+SLICE = 4 << 20
+
+
+def slices(column: pa.Array) -> Iterator[pa.Array]:
+    """A text column in runs of rows of bounded size."""
+    ends = np.cumsum(np.concatenate([[0], pc.binary_length(column).fill_null(0).to_numpy()]), dtype=np.int64)
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, "right")) - 1)
+        yield column.slice(at, end - at)
+        at = end
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """A text column as UTF-8 bytes, null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
