@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import io
 import tempfile
+import threading
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,27 +42,47 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder under the cluster's checkpoint folder; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+_open = threading.local()
+
+
+def shared_dir(spark: SparkSession, purpose: str, keep: bool = False) -> str:
+    """A new folder under the cluster's checkpoint folder; where none is set, a session on one machine makes its own.
+
+    In a scratch block the folder is deleted when the block ends, or, if it is to be kept, with the block around that one.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir()
-        if not root:
-            root = tempfile.mkdtemp(prefix="checkpoints-")
-            spark.sparkContext.setCheckpointDir(root)
-    elif not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="checkpoints-")
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    blocks = getattr(_open, "blocks", [])
+    if len(blocks) > keep:
+        blocks[-1 - keep].append(path)
+    return path
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, keep: bool = False) -> DataFrame:
     """The rows written to the shared folder and read again: lineage ends there."""
     spark = df.sparkSession
-    path = shared_dir(spark, purpose)
+    path = shared_dir(spark, purpose, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Folders made in the block (and not kept) are deleted at its end: use it where what leaves the block does not read them."""
+    _open.blocks = [*getattr(_open, "blocks", []), []]
+    try:
+        yield
+    finally:
+        for path in _open.blocks.pop():
+            drop_dir(spark, path)
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system."""
     jvm = spark.sparkContext._jvm
@@ -78,4 +100,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-__all__ = ["prepare", "shared_dir", "written", "drop_dir", "if_small", "load"]
+def spread(df: DataFrame) -> DataFrame:
+    """A table of a few small files, dealt out over the cores by rows: such files have few row groups, each read by one task.
+
+    A table of as many files as cores, or of many times as many splits, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() <= 2 * cores else df
+
+
+__all__ = ["prepare", "shared_dir", "written", "scratch", "drop_dir", "if_small", "load", "spread"]
