@@ -98,3 +98,63 @@ def test_url_kinds(spark):
     rows = [("url", "example.com:80/x", "https://example.com:80/x"), ("note", "plain", None), ("my_Link", "plain", "https://plain"), ("note", "data:x", "data:x"), ("url", "  ", None)]
     df = spark.createDataFrame([r[:2] for r in rows], "n string, v string").select(G.url_to_check(F.col("n"), F.col("v")).alias("u"))
     assert [r.u for r in df.collect()] == [r[2] for r in rows]
+
+
+def url_categories(spark, name, value):
+    df = spark.createDataFrame([(name, value)], "n string, v string")
+    found = G.url_findings(G.url_to_check(F.col("n"), F.col("v")), F.col("v"))
+    return [f["category"] for f in df.select(found.alias("f")).first().f]
+
+
+@pytest.mark.parametrize(
+    ("value", "want"),
+    [
+        ("http://exa mple.com/x", ["tool_url_scheme"]),
+        ("https://example.com/%zz", ["tool_url_scheme"]),
+        ("https://example.com:80x/", ["tool_url_scheme"]),
+        ("https://[::1/x", ["tool_url_scheme"]),
+        ("https://a]b/", ["tool_url_scheme"]),
+        ("https://example.com/<b>", ["tool_url_scheme"]),
+        ("https://example.com/a\\b", ["tool_url_scheme"]),
+        ("https://example.com:8080/a?b=%20c#d", []),
+        ("https://[2001:db8::1]:443/", []),
+        ("https://[::1]:443/", ["tool_url_private_host"]),
+        ("https://user@example.com:80/", ["tool_url_credentials"]),
+        ("https://münchen.example/straße", []),
+        ("exa mple.com/x", []),
+        ("  https://example.com/  ", []),
+    ],
+)
+def test_urls_that_cannot_be_taken_apart_are_refused(spark, value, want):
+    assert url_categories(spark, "url", value) == want
+
+
+def test_unknown_risk_counts_as_the_highest():
+    state = G.Session(tainted=True, source="fetch")
+    for risk in ("launch", None):
+        assert G.step(state, G.ToolGuardConfig(), "call", 0, "t", risk, "k", [], False)[0] == "block"
+    assert G.step(state, G.ToolGuardConfig(), "call", 0, "t", "readOnly", "k", [], False)[0] == "allow"
+
+
+def test_session_remembers_the_last_minute_only_and_late_calls_in_order():
+    state, second = G.Session(), 1_000_000
+    for i in range(5000):
+        state.prune(i * second)
+        state.record(i * second, f"k{i % 7}")
+    assert len(state.calls) == 61 and sum(state.times.values()) == 61
+    state.record(4950 * second, "late")
+    assert [m for m, _ in state.calls] == sorted(m for m, _ in state.calls) and state.times["late"] == 1
+    state.prune(5100 * second)
+    assert not state.calls and not state.times
+
+
+def test_without_limits_nothing_is_remembered():
+    state, config = G.Session(), G.ToolGuardConfig(max_calls_per_minute=0, max_repeated_calls=0)
+    for i in range(10):
+        assert G.step(state, config, "call", i, "t", "write", "same", [], False)[0] == "allow"
+    assert not state.calls
+
+
+def test_arguments_are_judged_in_a_plan_of_bounded_size(spark, assessed):
+    plan = G.assess_events(spark.createDataFrame(EVENTS, SCHEMA), CONFIG)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace") + plan.count("regexp_count") + plan.count("RLIKE") < 250

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,21 +23,30 @@ FINDING = T.StructType(
     ]
 )
 FINDINGS = T.ArrayType(FINDING)
+_FINDING_DDL = FINDING.simpleString()
 
 
 def finding(stage: str, category: str, severity: str, message, weight: float, excerpt=None, span=None, pattern_id: str | None = None) -> Column:
-    """One finding; message, excerpt and span may be columns."""
-    as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.struct(
-        F.lit(stage).alias("stage"),
-        F.lit(category).alias("category"),
-        F.lit(severity).alias("severity"),
-        as_col(message).cast("string").alias("message"),
-        F.lit(float(weight)).alias("weight"),
-        as_col(excerpt).cast("string").alias("excerpt"),
-        as_col(span).cast(FINDING["span"].dataType).alias("span"),
-        as_col(pattern_id).cast("string").alias("pattern_id"),
-    ).cast(FINDING)
+    """One finding; message, excerpt and span may be columns.
+
+    The constants are parsed at once: a column for each of them takes many more calls to build.
+    """
+    given = {"stage": stage, "category": category, "severity": severity, "message": message, "weight": float(weight), "excerpt": excerpt, "span": span, "pattern_id": pattern_id}
+    fields = ", ".join(f"'{k}', {'NULL' if v is None or isinstance(v, Column) else f'{v!r}D' if isinstance(v, float) else _quoted(v)}" for k, v in given.items())
+    out = F.expr(f"named_struct({fields})")
+    for k, v in given.items():
+        if isinstance(v, Column):
+            out = out.withField(k, v)
+    return out.cast(_FINDING_DDL)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once however often the body reads it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def gather(*maybe: Column) -> Column:
@@ -60,6 +69,15 @@ def noisy_or(weights: Column) -> Column:
 BUCKETS = ((0.90, "critical"), (0.70, "high"), (0.40, "medium"), (0.15, "low"))
 
 
+def exploded(df: DataFrame, findings: str, *keep: str, into: str = "f") -> DataFrame:
+    """One row for each finding, with the columns kept.
+
+    The rows are made as if every text had some finding, and those without are dropped after: a plain explode lets the
+    optimizer push "has findings" down, and so run everything that makes them twice.
+    """
+    return df.select(*keep, F.explode_outer(findings).alias(into)).where(F.col(into).isNotNull())
+
+
 def bucket(score: Column) -> Column:
     out = F.lit("info")
     for least, name in reversed(BUCKETS):

@@ -7,6 +7,7 @@ their spans; findings, score, bucket and verdict are built from those by native
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from functools import lru_cache
@@ -115,9 +116,14 @@ def _signals(text: Column, also: Column | None, fold: bool, signatures: tuple[Si
     return alone(text) if also is None else paired(text, also)
 
 
+@lru_cache(8)
+def _table(signatures: tuple[Signature, ...]) -> str:
+    return json.dumps([{"id": s.id, "category": s.category, "severity": s.severity, "weight": s.weight, "message": s.message} for s in signatures])
+
+
 def described(hits: Column, signatures: Sequence[Signature] = SIGNATURES) -> Column:
-    """Findings of the hits."""
-    table = F.array(*(F.struct(*(F.lit(x).alias(k) for k, x in zip(("id", "category", "severity", "weight", "message"), (s.id, s.category, s.severity, s.weight, s.message), strict=True))) for s in signatures))
+    """Findings of the hits. The table is one literal, which costs less to build than a literal for each of its values."""
+    table = F.from_json(F.lit(_table(tuple(signatures))), "array<struct<id: string, category: string, severity: string, weight: double, message: string>>")
 
     def one(h: Column) -> Column:
         s = F.element_at(table, h["place"] + 1)

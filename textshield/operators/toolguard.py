@@ -6,7 +6,7 @@ through one transition function that the batch and the stream share.
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -49,63 +49,100 @@ class ToolGuardConfig:
 
 def private_host(host: Column) -> Column:
     """Whether a host is of this machine or network by its name or address."""
-    h = F.lower(F.regexp_replace(host, r"^\[(.*)\]$", "$1"))
-    h = F.regexp_replace(h, "^::ffff:", "")
-    parts = F.split(h, r"\.")
-    octet = lambda i: F.try_element_at(parts, F.lit(i)).try_cast("int")
-    v4 = h.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & (F.greatest(*(octet(i) for i in range(1, 5))) <= 255)
-    a, b = octet(1), octet(2)
-    inside = a.isin(0, 10, 127) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127))
-    named = h.isin("localhost", "localhost.localdomain") | h.rlike(r"(\.localhost|\.local|\.internal|\.home\.arpa)$")
-    v6 = F.when(h.isin("::1", "::"), True).otherwise(h.rlike("^(fe80:|fc|fd)"))
-    return F.when(named, True).when(v4, inside).when(F.contains(h, F.lit(":")), v6).otherwise(~F.contains(h, F.lit(".")))
+    bare = F.regexp_replace(F.lower(F.regexp_replace(host, r"^\[(.*)\]$", "$1")), "^::ffff:", "")
+
+    def judged(p: Column) -> Column:
+        h, o = p["h"], p["octets"]
+        a, b = o[0], o[1]
+        inside = a.isin(0, 10, 127) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 100) & b.between(64, 127))
+        named = h.isin("localhost", "localhost.localdomain") | h.rlike(r"(\.localhost|\.local|\.internal|\.home\.arpa)$")
+        v4 = h.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & (F.array_max(o) <= 255)
+        v6 = F.when(h.isin("::1", "::"), True).otherwise(h.rlike("^(fe80:|fc|fd)"))
+        return F.when(named, True).when(v4, inside).when(F.contains(h, F.lit(":")), v6).otherwise(~F.contains(h, F.lit(".")))
+
+    numbers = lambda h: F.transform(F.split(h, r"\."), lambda x: x.try_cast("int"))
+    return C.let(bare, lambda h: C.let(F.struct(h.alias("h"), F.concat(numbers(h), F.array(F.lit(None).cast("int"), F.lit(None).cast("int"))).alias("octets")), judged))
+
+
+#: What stands for a value that has a scheme and is no url; its own scheme is never allowed.
+UNPARSEABLE = "invalid://unparseable"
+
+#: What no url holds unescaped, an escape that is none, a port that is no number, and brackets around no address.
+_NO_URL = (
+    r"[\x00-\x20\x7F\s<>\"{}|\\^`]",
+    r"%(?![0-9A-Fa-f]{2})",
+    r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*:[^/?#@:\]]*[^0-9/?#@:\]][^/?#@\]]*(?:[/?#]|$)",
+    r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(?:\[[^\]/?#]*(?:[/?#]|$)|[^\[/?#@]+[\[\]])",
+)
+
+
+def is_url(value: Column) -> Column:
+    """Whether a value that begins with a scheme can be taken apart as a url."""
+    return ~C.any_of([value.rlike(p) for p in _NO_URL])
 
 
 def url_to_check(name: Column, value: Column) -> Column:
-    """The url that a value is to be judged as, or null: one with a scheme, or any under a name that says url."""
-    v = C.strip(value)
-    scheme = r"^[a-zA-Z][a-zA-Z0-9+.-]*:"
-    port = ~F.contains(v, F.lit("://")) & v.rlike(scheme[:-1] + r":\d+(/|$)")
-    says = F.lower(name).rlike("url|link|href")
-    return F.when(v == "", None).when(v.rlike(scheme) & ~port, v).when(says, F.concat(F.lit("https://"), v))
+    """The url that a value is to be judged as, or null: one with a scheme, or any under a name that says url.
+
+    A value with a scheme that is no url is UNPARSEABLE, and so refused; under such a name, one without is not judged.
+    """
 
+    def judged(v: Column) -> Column:
+        scheme = r"^[a-zA-Z][a-zA-Z0-9+.-]*:"
+        port = ~F.contains(v, F.lit("://")) & v.rlike(scheme[:-1] + r":\d+(/|$)")
+        whole = F.concat(F.lit("https://"), v)
+        return (
+            F.when(v == "", None)
+            .when(v.rlike(scheme) & ~port, F.when(is_url(v), v).otherwise(UNPARSEABLE))
+            .when(F.lower(name).rlike("url|link|href") & is_url(whole), whole)
+        )
 
-_REST = r"^[a-zA-Z][a-zA-Z0-9+.-]*:(?://([^/?#]*))?"
+    return C.let(C.strip(value), judged)
 
 
 def url_findings(url: Column, original: Column, config: ToolGuardConfig = ToolGuardConfig()) -> Column:
     """Findings on a url; an unlisted scheme is the only one where there is one."""
-    scheme = F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
-    authority = F.regexp_extract(url, _REST, 1)
-    host = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", ""))
-    excerpt = F.substring(original, 1, 80)
-    refused = ~scheme.isin(*config.allowed_schemes)
-    more = []
-    if config.block_credentials:
-        more.append(F.when(F.contains(authority, F.lit("@")), C.finding("tool", "tool_url_credentials", "high", "the url holds a user or password", 0.8, excerpt=excerpt)))
-    if config.block_private_hosts:
-        more.append(F.when((host != "") & private_host(host), C.finding("tool", "tool_url_private_host", "high", F.concat(F.lit("the url is on a private host: "), host), 0.8)))
-    if config.max_url_length:
-        more.append(F.when(F.length(original) > config.max_url_length, C.finding("tool", "tool_url_length", "high", F.concat(F.lit("the url has "), F.length(original).cast("string"), F.lit(" characters")), 0.8)))
-    if config.max_opaque_token:
-        tail = F.regexp_extract(url, r"^[^?#]*([?#].*)$", 1)
-        more.append(F.when(tail.rlike(r"[A-Za-z0-9+/=_-]{%d,}" % config.max_opaque_token), C.finding("tool", "tool_url_opaque_token", "high", "the url's query holds a long opaque run", 0.8)))
-    first = C.finding("tool", "tool_url_scheme", "critical", F.concat(F.lit("the scheme is not allowed: "), scheme), 1.0, excerpt=excerpt)
-    return F.when(url.isNull(), F.array().cast(C.FINDINGS)).when(refused, F.array(first)).otherwise(C.gather(*more))
+
+    def judged(p: Column) -> Column:
+        scheme, authority, tail, said = p["scheme"], p["authority"], p["tail"], p["said"]
+        excerpt = F.substring(said, 1, 80)
+        more = []
+        if config.block_credentials:
+            more.append(F.when(F.contains(authority, F.lit("@")), C.finding("tool", "tool_url_credentials", "high", "the url holds a user or password", 0.8, excerpt=excerpt)))
+        if config.block_private_hosts:
+            host = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", ""))
+            more.append(C.let(host, lambda h: F.when((h != "") & private_host(h), C.finding("tool", "tool_url_private_host", "high", F.concat(F.lit("the url is on a private host: "), h), 0.8))))
+        if config.max_url_length:
+            more.append(F.when(F.length(said) > config.max_url_length, C.finding("tool", "tool_url_length", "high", F.concat(F.lit("the url has "), F.length(said).cast("string"), F.lit(" characters")), 0.8)))
+        if config.max_opaque_token:
+            more.append(F.when(tail.rlike(r"[A-Za-z0-9+/=_-]{%d,}" % config.max_opaque_token), C.finding("tool", "tool_url_opaque_token", "high", "the url's query holds a long opaque run", 0.8)))
+        first = C.finding("tool", "tool_url_scheme", "critical", F.concat(F.lit("the scheme is not allowed: "), scheme), 1.0, excerpt=excerpt)
+        return F.when(~scheme.isin(*config.allowed_schemes), F.array(first)).otherwise(C.gather(*more))
+
+    parts = F.struct(
+        F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)).alias("scheme"),
+        F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*:(?://([^/?#]*))?", 1).alias("authority"),
+        F.regexp_extract(url, r"(?s)^[^?#]*([?#].*)$", 1).alias("tail"),
+        original.alias("said"),
+    )
+    return F.when(url.isNull(), F.array().cast(C.FINDINGS)).otherwise(C.let(parts, judged))
 
 
 def argument_findings(arguments: Column, config: ToolGuardConfig = ToolGuardConfig()) -> Column:
-    """Findings on each argument, by name: hidden characters, then the url."""
+    """Findings on each argument, by name: hidden characters, then the url. Each step is worked out once for an argument."""
 
-    def one(entry: Column) -> Column:
-        name, value = entry["key"], F.coalesce(entry["value"], F.lit(""))
+    def cleaned(e: Column) -> Column:
+        value = F.coalesce(e["value"], F.lit(""))
         n = C.invisible_counts(value)
-        hidden = F.when((n["tag_chars"] > 0) | (n["bidi_controls"] > 0), C.finding("tool", "tool_arg_smuggling", "critical", F.concat(F.lit("hidden characters in the argument "), name), 1.0))
-        hidden = hidden.when(n["zero_width"] > 0, C.finding("tool", "tool_arg_smuggling", "medium", F.concat(F.lit("zero-width characters in the argument "), name), 0.4))
-        clean = C.tidy(C.strip_invisible(value))
-        return F.concat(C.gather(hidden), url_findings(url_to_check(name, clean), clean, config))
+        return F.struct(e["key"].alias("name"), (n["tag_chars"] + n["bidi_controls"]).alias("hidden"), n["zero_width"].alias("thin"), C.tidy(C.strip_invisible(value)).alias("clean"))
+
+    def one(e: Column) -> Column:
+        name = e["name"]
+        hidden = F.when(e["hidden"] > 0, C.finding("tool", "tool_arg_smuggling", "critical", F.concat(F.lit("hidden characters in the argument "), name), 1.0))
+        hidden = hidden.when(e["thin"] > 0, C.finding("tool", "tool_arg_smuggling", "medium", F.concat(F.lit("zero-width characters in the argument "), name), 0.4))
+        return F.concat(C.gather(hidden), C.let(url_to_check(name, e["clean"]), lambda url: url_findings(url, e["clean"], config)))
 
-    return F.flatten(F.transform(F.array_sort(F.map_entries(arguments)), one))
+    return F.flatten(F.transform(F.transform(F.array_sort(F.map_entries(arguments)), cleaned), one))
 
 
 def call_key(tool: Column, arguments: Column) -> Column:
@@ -149,19 +186,38 @@ def assess_events(events: DataFrame, config: ToolGuardConfig = ToolGuardConfig()
 class Session:
     """What a session remembers: recorded calls of the last minute, and whether injected content came in, from where."""
 
-    calls: deque = field(default_factory=deque)  # (micros, key)
+    calls: deque = field(default_factory=deque)  # (micros, key), in order of time
     tainted: bool = False
     source: str | None = None
 
+    def __post_init__(self) -> None:
+        self.times = Counter(key for _, key in self.calls)
+
     def prune(self, now: int) -> None:
         """A call of exactly a minute ago still counts."""
-        self.calls = deque(c for c in self.calls if c[0] >= now - WINDOW_MICROS)
+        while self.calls and self.calls[0][0] < now - WINDOW_MICROS:
+            _, key = self.calls.popleft()
+            self.times[key] -= 1
+            if not self.times[key]:
+                del self.times[key]
+
+    def record(self, now: int, key: str) -> None:
+        late = bool(self.calls) and now < self.calls[-1][0]
+        self.calls.append((now, key))
+        if late:  # only in a stream, where an event may come after later ones
+            self.calls = deque(sorted(self.calls, key=lambda c: c[0]))
+        self.times[key] += 1
+
+
+def risk_rank(risk: str | None) -> int:
+    """Place of a risk among RISKS; one that is unknown counts as the highest."""
+    return RISKS.index(risk) if risk in RISKS else len(RISKS) - 1
 
 
 VERDICTS = ("allow", "warn", "block")
 
 
-def step(state: Session, config: ToolGuardConfig, kind: str, now: int, tool: str, risk: str, key: str, own: list[tuple[str, str, str]], injected: bool) -> tuple[str, str | None, list[str]] | None:
+def step(state: Session, config: ToolGuardConfig, kind: str, now: int, tool: str, risk: str | None, key: str, own: list[tuple[str, str, str]], injected: bool) -> tuple[str, str | None, list[str]] | None:
     """Move the session over one event; of a call, the verdict, its first reason and the categories found.
 
     own: category, severity and message of what the call shows by itself.
@@ -185,10 +241,11 @@ def step(state: Session, config: ToolGuardConfig, kind: str, now: int, tool: str
     if config.max_calls_per_minute and len(state.calls) >= config.max_calls_per_minute:
         add("tool_rate_limit", 2, "too many tool calls in a minute")
         return VERDICTS[verdict], reason, found  # a refused call is not recorded
-    if config.max_repeated_calls and sum(k == key for _, k in state.calls) >= config.max_repeated_calls:
+    if config.max_repeated_calls and state.times[key] >= config.max_repeated_calls:
         add("tool_repeat", 1, f"the same call of {tool} again and again")
-    state.calls.append((now, key))
-    if state.tainted and config.taint_policy != "off" and RISKS.index(risk) > 0:
+    if config.max_calls_per_minute or config.max_repeated_calls:  # else nothing asks for it
+        state.record(now, key)
+    if state.tainted and config.taint_policy != "off" and risk_rank(risk) > 0:
         add("tool_taint", 2 if config.taint_policy == "block" else 1, f"{state.source} returned injected content; a person has to confirm")
     for category, severity, message in own:
         smuggled = category == "tool_arg_smuggling"
@@ -208,7 +265,7 @@ def slim(assessed: DataFrame) -> DataFrame:
         F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
         "kind",
         "tool",
-        F.coalesce("risk", F.lit(RISKS[0])).alias("risk"),
+        "risk",
         "call_key",
         F.transform("call_findings", lambda f: F.struct(f["category"].alias("category"), f["severity"].alias("severity"), f["message"].alias("message"))).alias("own"),
         "injected",

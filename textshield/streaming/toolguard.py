@@ -1,7 +1,10 @@
 """The session part of the tool guard over a stream: the batch's transition function behind keyed state.
 
-Events of a micro-batch are taken in order of time and seq. State is one row for each session; with a timeout, sessions
-without events for that long are forgotten (a tainted one never is).
+Order: the events of a micro-batch are taken in order of time and seq; one that comes in a later micro-batch than events
+after it is judged when it comes, with its own time. A session's events of one micro-batch are held together, so the
+source's limit for a micro-batch (maxFilesPerTrigger and the like) bounds what a hot session takes. State is one row for
+each session: the calls of its last minute. With a timeout, sessions without events for that long are forgotten (a
+tainted one never is).
 """
 
 from __future__ import annotations
