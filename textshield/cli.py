@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import SparkSession
@@ -24,11 +25,11 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--version", action="version", version=f"textshield {VERSION}")
     args = parser.parse_args(argv)
     spark = runtime.prepare(SparkSession.builder.getOrCreate())
-    df = files.read_texts(spark, args.file) if args.file else spark.createDataFrame([("-", sys.stdin.read())], "path string, text string")
+    df = files.read_texts(spark, args.file) if args.file else spark.createDataFrame([("-", sys.stdin.buffer.read().decode("utf-8", "replace"))], "path string, text string")
     s = F.col("scan")
     shown = guard.to_json(s["score"], s["risk"], s["injected"], s["threshold"], s["findings"]) if args.json else files.text_report(s)
     row = detect.scan(df, threshold=args.threshold).select(shown.alias("shown"), s["injected"].alias("injected")).first()
-    print(row["shown"])
+    print(json.dumps(json.loads(row["shown"]), indent=2) if args.json else row["shown"])
     return int(row["injected"])
 
 

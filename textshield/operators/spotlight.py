@@ -30,8 +30,8 @@ def random_hex(n_bytes: int = NONCE_BYTES) -> Column:
 
 
 def derived_hex(seed: str, key: Column, n_bytes: int = NONCE_BYTES) -> Column:
-    """Hex digits that only the holder of the seed can foretell, the same on every evaluation."""
-    return F.substring(F.sha2(F.concat(F.lit(seed + ":"), key.cast("string")), 256), 1, 2 * n_bytes)
+    """Hex digits that only the holder of the seed can foretell, the same on every evaluation; a null key counts as empty."""
+    return F.substring(F.sha2(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit(""))), 256), 1, 2 * n_bytes)
 
 
 def delimit(text: Column, nonce: Column, tag: str = TAG) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,9 +91,16 @@ class Guard:
         return df.withColumn("blocked", F.lit(False) if least is None else C.rank(F.col("detected.risk")) >= C.SEVERITIES.index(least))
 
     def finalize(self, replies: DataFrame, prepared: DataFrame, reply: str = "reply") -> DataFrame:
-        """Join replies to prepared rows by id, validate them and give the verdicts."""
-        df = prepared.join(replies.select(self.key, F.col(reply).alias("reply")), self.key)
-        return self._assemble(self._validated(df))
+        """Join replies to prepared rows by id, validate them and give the verdicts.
+
+        Rows without a reply are left out. A null id is an id like any other. An id that two prepared rows have ends the
+        job: a reply to it could be to either (summarize, which numbers the rows itself, takes them).
+        """
+        same = Window.partitionBy(self.key)
+        several = F.raise_error(F.concat(F.lit("several prepared rows have the id "), F.coalesce(F.col(self.key).cast("string"), F.lit("null"))))
+        once = prepared.withColumn("__once", F.when(F.count(F.lit(1)).over(same) > 1, several.cast("boolean")).otherwise(True)).where("__once").drop("__once")
+        found = replies.select(F.col(self.key).alias("__of"), F.col(reply).alias("reply"))
+        return self._assemble(self._validated(once.join(found, F.col(self.key).eqNullSafe(F.col("__of"))).drop("__of")))
 
     def _validated(self, df: DataFrame) -> DataFrame:
         c = self.config
@@ -104,8 +111,9 @@ class Guard:
         model = model or self.model
         if model is None:
             raise ValueError("no model: give one to the guard or to the call, or use prepare and finalize")
-        key = self.key
+        return self._asked(prepared, model, self.key)
 
+    def _asked(self, prepared: DataFrame, model: Model, key: str) -> DataFrame:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 replies, errors = [], []
@@ -124,15 +132,18 @@ class Guard:
     def summarize(self, df: DataFrame, model: Model | None = None) -> DataFrame:
         """Ask the model for all rows that are not blocked, and give one verdict for each row.
 
-        Prepared rows and replies are written to the shared folder: a secret is drawn, and a model asked, once for each row.
+        Prepared rows and replies are written to the shared folder: a secret is drawn, and a model asked, once for each
+        row. Repeated and null ids are rows like any other.
         """
-        if (model or self.model) is None:
+        model = model or self.model
+        if model is None:
             raise ValueError("no model: give one to the guard or to the call, or use prepare and finalize")
-        prepared = runtime.written(self.prepare(df), "prepared")
-        replies = runtime.written(self.ask(prepared, model), "replies")
-        done = self._assemble(self._validated(prepared.where(~F.col("blocked")).join(replies, self.key)))
+        row = "__row"  # ids may repeat or be null: a reply belongs to a row
+        prepared = runtime.written(self.prepare(df).withColumn(row, F.monotonically_increasing_id()), "prepared")
+        replies = runtime.written(self._asked(prepared, model, row), "replies")
+        done = self._assemble(self._validated(prepared.where(~F.col("blocked")).join(replies, row)))
         held = prepared.where("blocked").withColumns({"reply": F.lit(None).cast("string"), "error": F.lit(None).cast("string"), "validation": F.lit(None).cast(done.schema["validation"].dataType)})
-        return done.unionByName(self._assemble(held))
+        return done.unionByName(self._assemble(held)).drop(row)
 
     def _assemble(self, df: DataFrame) -> DataFrame:
         val, none = F.col("validation"), F.array().cast(C.FINDINGS)
@@ -151,26 +162,30 @@ def status(blocked: Column, safe: Column, injected: Column) -> Column:
     return F.when(blocked, "BLOCKED").when(~safe, "UNSAFE").when(injected, "CONTAINED").otherwise("SAFE")
 
 
+#: Findings that a report shows, unless told otherwise.
 SHOWN = 12
 
 
-@F.pandas_udf(T.StringType())
-def report(status: pd.Series, risk: pd.Series, score: pd.Series, findings: pd.Series) -> pd.Series:
-    """A few lines for people: the verdict, then the gravest findings first."""
-    out = []
-    for s, r, x, found in zip(status, risk, score, findings, strict=True):
-        found = [] if found is None else list(found)
-        lines = [f"Guard: {s}  (risk={r}, score={x:.2f})"]
-        if not found:
-            lines.append("  Nothing found.")
-        else:
-            lines.append(f"  {len(found)} finding(s):")
-            for f in sorted(found, key=lambda f: -C.SEVERITIES.index(f["severity"]))[:SHOWN]:
-                lines.append(f"    [{f['severity']:>8}] {f['stage']}/{f['category']}: {f['message']}" + (f" — {f['excerpt']!r}" if f["excerpt"] else ""))
-            if len(found) > SHOWN:
-                lines.append(f"    … and {len(found) - SHOWN} more")
-        out.append("\n".join(lines))
-    return pd.Series(out)
+def report(status: Column, risk: Column, score: Column, findings: Column, most: int | None = SHOWN) -> Column:
+    """A few lines for people: the verdict, then the gravest findings first, `most` of them (None: all)."""
+
+    @F.pandas_udf(T.StringType())
+    def run(status: pd.Series, risk: pd.Series, score: pd.Series, findings: pd.Series) -> pd.Series:
+        return pd.Series([report_text(s, r, x, [] if f is None else list(f), most) for s, r, x, f in zip(status, risk, score, findings, strict=True)])
+
+    return run(status, risk, score, findings)
+
+
+def report_text(status: str, risk: str, score: float, found: list, most: int | None) -> str:
+    lines = [f"Guard: {status}  (risk={risk}, score={score:.2f})"]
+    if not found:
+        return lines[0] + "\n  Nothing found."
+    lines.append(f"  {len(found)} finding(s):")
+    for f in sorted(found, key=lambda f: -C.SEVERITIES.index(f["severity"]))[:most]:
+        lines.append(f"    [{f['severity']:>8}] {f['stage']}/{f['category']}: {f['message']}" + (f" — {f['excerpt']!r}" if f["excerpt"] else ""))
+    if most is not None and len(found) > most:
+        lines.append(f"    … and {len(found) - most} more")
+    return "\n".join(lines)
 
 
 def to_json(score: Column, risk: Column, injected: Column, threshold: Column, findings: Column) -> Column:

@@ -18,9 +18,9 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def text_report(scan: Column) -> Column:
-    """Lines for people on a scan: the verdict, then findings, gravest first."""
+    """Lines for people on a scan: the verdict, then all findings, gravest first."""
     head = F.when(scan["injected"], "INJECTION DETECTED").otherwise("clean")
-    return guard.report(head, scan["risk"], scan["score"], scan["findings"])
+    return guard.report(head, scan["risk"], scan["score"], scan["findings"], most=None)
 
 
 def write_reports(scanned: DataFrame, path: str, scan: str = "scan") -> None:
