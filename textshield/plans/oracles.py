@@ -1,6 +1,6 @@
 """DuckDB SQL for the screening queries, generated from the same fixed values.
 
-The tables' texts are in normal form and hold no white space beyond ASCII, so the normal form needs no SQL.
+The tables' texts are in normal form and hold no white space beyond ASCII; what payloads put in is changed by name.
 """
 
 from __future__ import annotations
@@ -8,7 +8,8 @@ from __future__ import annotations
 from textshield.functions import columns as C
 from textshield.functions.signatures import SIGNATURES
 from textshield.operators import detect as D
-from textshield.plans.attacks import quoted
+from textshield.operators import sanitize as S
+from textshield.plans.attacks import VARIANTS, quoted
 
 CLASSES = C.invisible_classes()
 ANY = "[" + "".join(CLASSES.values()) + "]"
@@ -31,6 +32,17 @@ def bare(text: str) -> str:
     return f"regexp_replace({text}, {quoted(ANY)}, '', 'g')"
 
 
+def nfkc(text: str) -> str:
+    """The normal form of texts whose only characters out of it are those that plans.attacks puts in."""
+    for variant, plain in VARIANTS.items():
+        text = f"replace({text}, '{variant}', '{plain}')"
+    return text
+
+
+def clean(raw: str) -> str:
+    return tidy(nfkc(bare(raw)))
+
+
 def fold(text: str, *maps: tuple[str, str]) -> str:
     return f"translate({text}, {quoted(''.join(a for a, _ in maps))}, {quoted(''.join(b for _, b in maps))})"
 
@@ -50,15 +62,18 @@ COMMANDS = "list_filter(" + LINES + ", lambda w: lower(w) IN (" + ", ".join(map(
 DIRECTIVES = count("t", DIRECTIVE)
 
 
-def scanned(source: str, keys: str, threshold: float = 0.5) -> str:
-    """CTEs up to `scanned`: keys, t, hits, weights, score, risk, injected, n_findings. source selects keys and raw."""
+def scanned(source: str, keys: str, threshold: float = 0.5, before: str = "") -> str:
+    """CTEs up to `scanned`: keys, t, hits, weights, score, risk, injected, n_findings. source selects keys and raw.
+
+    before: weights of findings that come before the others, as a list over columns of the source, which are among the keys.
+    """
     invisible = ", ".join(f"{count('raw', '[' + c + ']')} AS {k}" for k, c in CLASSES.items())
-    sanitize = ", ".join(f"CASE WHEN {k} > 0 THEN {w}::DOUBLE END" for k, _, _, _, w, _ in C.INVISIBLE)
+    sanitize = (before + ", " if before else "") + ", ".join(f"CASE WHEN {k} > 0 THEN {w}::DOUBLE END" for k, _, _, _, w, _ in C.INVISIBLE)
     weights = "[" + ", ".join(f"{s.weight}::DOUBLE" for s in SIGNATURES) + "]"
     high = "[" + ", ".join("true" if s.severity in ("high", "critical") else "false" for s in SIGNATURES) + "]"
     return f"""
 src AS ({source}),
-c AS (SELECT {keys}, raw, {invisible}, {tidy(bare('raw'))} AS t FROM src),
+c AS (SELECT {keys}, raw, {invisible}, {clean('raw')} AS t FROM src),
 u AS (SELECT *, {fold('t', C.LEET, C.CONFUSABLES)} AS u, {_hits('t')} AS first,
   len({LINES}) AS n_lines, len({COMMANDS}) AS n_commands, {DIRECTIVES} AS n_directives FROM c),
 h AS (SELECT *, list_concat(first, list_filter(CASE WHEN u <> t THEN {_hits('u')} ELSE [] END, lambda i: NOT list_contains(first, i))) AS hits,
@@ -72,5 +87,40 @@ scanned AS (SELECT *, {bucket('score')} AS risk, len(weights) AS n_findings,
 """
 
 
+def visible(page: str) -> str:
+    """What is seen of the generated pages: their markup is regular, and hides an element only as plans.catalog puts it in."""
+    blocks = "|".join(sorted(S.BLOCKS, key=len, reverse=True))
+    steps = (
+        ("(?s)<!--.*?-->", ""),
+        ("(?is)<(?:head)[\\s>].*?</head>", ""),
+        ("(?is)<div style=\"display:none\">[^<]*</div>", "\n\n"),
+        (f"(?i)</?(?:{blocks})(?:\\s[^>]*)?>", "\n"),
+        ("(?s)<[/!a-zA-Z][^>]*>", ""),
+        ("&lt;", "<"),
+        ("&gt;", ">"),
+        ("&quot;", '"'),
+        ("&copy;", "©"),
+        ("&middot;", "·"),
+        ("&amp;", "&"),
+    )
+    for pattern, by in steps:
+        page = f"regexp_replace({page}, {quoted(pattern)}, {quoted(by)}, 'g')"
+    return page
+
+
+def spans(source: str, keys: str) -> str:
+    """CTEs up to `spans`: keys, i, span_start, span_end, excerpt of the first match of each signature that hits."""
+    before = "CASE i " + " ".join(f"WHEN {i} THEN length(regexp_extract(s, {quoted(f'(?im)\\A((?s:.*?))(?:{x.pattern})')}, 1))" for i, x in enumerate(SIGNATURES)) + " END"
+    size = "CASE i " + " ".join(f"WHEN {i} THEN length(regexp_extract(s, {quoted(f'(?im)\\A(?s:.*?)({x.pattern})')}, 1))" for i, x in enumerate(SIGNATURES)) + " END"
+    inside = strip(f"replace(substring(s, a + 1, b - a), chr(10), ' ')")
+    return f"""{scanned(source, keys)},
+x AS (SELECT {keys}, unnest(hits) AS i, t, u, first FROM scanned),
+y AS (SELECT {keys}, i, CASE WHEN list_contains(first, i) THEN t ELSE u END AS s FROM x),
+z AS (SELECT *, {before} AS span_start, {size} AS size FROM y),
+w2 AS (SELECT *, span_start + size AS span_end, greatest(0, span_start - {D.PAD}) AS a, least(length(s), span_start + size + {D.PAD}) AS b FROM z),
+spans AS (SELECT {keys}, i, span_start, span_end, CASE WHEN a > 0 THEN '…' ELSE '' END || {inside} || CASE WHEN b < length(s) THEN '…' ELSE '' END AS excerpt FROM w2)
+"""
+
+
 IDS = "[" + ", ".join(quoted(s.id) for s in SIGNATURES) + "]"
 CATEGORIES = "[" + ", ".join(quoted(s.category) for s in SIGNATURES) + "]"
