@@ -1,7 +1,10 @@
+import hashlib
 import itertools
+import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from textshield.llm import packing, shards
@@ -91,6 +94,17 @@ def test_pack(documents):
     assert len({x.sequence_id for x in found}) <= 1.1 * sum(x.length for x in found) / capacity + 1
 
 
+def test_pack_null_and_repeated_ids_and_a_text_over_many_pieces(documents):
+    rows = [(None, "a b", None), (3, "c", None), (3, "c", None), (3, "d", None), (9, "word " * 9001, None), (10, " ".join("1" * 4095), None)]
+    found = packing.pack(documents(rows)).collect()
+    assert sorted((x.doc_id or -1, x.piece, x.start, x.length) for x in found) == [(-1, 0, 0, 3), (3, 0, 0, 2), (3, 0, 0, 2), (3, 0, 0, 2), (9, 0, 0, 4096), (9, 1, 4096, 4096), (9, 2, 8192, 810), (10, 0, 0, 4096)]
+    places = {}
+    for x in found:
+        places.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for p in places.values():
+        assert [a for a, _ in sorted(p)] == list(itertools.accumulate([0, *(n for _, n in sorted(p))]))[:-1]
+
+
 def test_pack_empty_table(documents):
     assert packing.pack(documents([])).collect() == []
 
@@ -120,5 +134,71 @@ def test_group_larger_than_a_shard_is_dealt_out(documents):
     assert len({x.shard for x in found if x.doc_id < 400}) < 8
 
 
+def test_an_item_goes_where_the_dot_product_is_highest():
+    r = shards.Residual(np.array([[0.5, 0.9, 0.1], [0.6, 0.2, 0.2], [0.05, 1.0, 1.0]]))
+    assert r.put(np.array([0.1, 0.4, 0.0])) == 0  # 0.41 beats 0.14; the third has no room in bytes
+    assert np.allclose(r.left[0], [0.4, 0.5, 0.1])
+    assert r.put(np.array([0.1, 0.0, 0.5])) == 1
+    assert r.put(np.array([0.9, 0.1, 0.1])) == 1  # no room anywhere: the one with most bytes left
+
+
+def by_hand(items, total, left, tie=lambda v: 0):
+    """Every item, largest first (then by tie, then by digest), against the shards one by one."""
+    left, out = [list(x) for x in left], {}
+    parts = {k: [8 * a / t for a, t in zip(v, total, strict=True)] for k, v in items.items()}
+    for k in sorted(parts, key=lambda k: (-max(parts[k]), tie(parts[k]), k)):
+        v = parts[k]
+        fit = [s for s in range(8) if left[s][0] >= v[0]]
+        best = max(fit, key=lambda s: (round(sum(a * b for a, b in zip(left[s], v, strict=True)), 12), -s)) if fit else max(range(8), key=lambda s: (left[s][0], -s))
+        left[best] = [a - b for a, b in zip(left[best], v, strict=True)]
+        out[k] = best
+    return out, left
+
+
+def test_every_group_is_placed_by_the_rule(documents, monkeypatch):
+    """With one cell the result is that of placing all groups one by one: the large first, then the others."""
+    r = random.Random(6)
+    texts = [" ".join(["w" * r.randint(1, 12)] * r.randint(1, 40)) + str(i) for i in range(150)]
+    texts += [t for t in texts[:20] for _ in range(r.randint(1, 6))] + ["big " * 4000, "big too " * 3000]
+    groups = {}
+    for t in texts:
+        d = hashlib.sha256(t.encode()).digest()[:16]
+        x = groups.setdefault(d, [0, 0, 0])
+        for i, a in enumerate((len(t.encode()) + 1, len(t.split()), 1)):
+            x[i] += a
+    total = [sum(v[i] for v in groups.values()) for i in range(3)]
+    large = {k: v for k, v in groups.items() if any(a > t / 100 for a, t in zip(v, total, strict=True))}
+    assert 0 < len(large) < len(groups)
+    parts = {}
+    for k, v in large.items():
+        n = min(v[2], max(1, math.ceil(max(a / t for a, t in zip(v, total, strict=True)) * 8 - 1e-9)))
+        assert n == 1
+        parts[k] = v
+    first, left = by_hand(parts, total, [[1.0] * 3] * 8, lambda v: -sum(v))
+    rest, _ = by_hand({k: v for k, v in groups.items() if k not in large}, total, left)
+    want = first | rest
+    found = shards.shard(documents([(i, t, None) for i, t in enumerate(texts)]), large=1 / 100).collect()
+    wrong = [x for x in found if want[hashlib.sha256(texts[x.doc_id].encode()).digest()[:16]] != x.shard]
+    assert not wrong
+
+
+def test_bytes_tokens_and_rows_are_balanced_over_many_cells(documents):
+    r = random.Random(9)
+    texts = [" ".join("x" * r.choice([1, 2, 30]) for _ in range(r.choice([1, 10, 100]))) + f" {i}" for i in range(3000)]
+    found = shards.shard(documents([(i, t, None) for i, t in enumerate(texts)]), cell_groups=300).collect()
+    assert sorted(x.doc_id for x in found) == list(range(3000))
+    for of, slack in ((lambda x: x.size, 1.01), (lambda x: len(texts[x.doc_id].split()), 1.25), (lambda x: 1, 1.25)):
+        amounts = [sum(of(x) for x in found if x.shard == s) for s in range(8)]
+        assert max(amounts) <= slack * min(amounts), amounts
+
+
+def test_shards_of_repeated_rows_null_ids_and_a_very_long_text(documents):
+    rows = [(5, "same", None)] * 3 + [(None, "same", None), (None, None, None), (7, "long " * 300_000, None)] + [(i, f"t{i}", None) for i in range(50)]
+    found = shards.shard(documents(rows)).collect()
+    assert sorted(str(x.doc_id) for x in found) == sorted(str(d) for d, *_ in rows)
+    for s in range(8):
+        assert sorted(x.slot for x in found if x.shard == s) == list(range(sum(x.shard == s for x in found)))
+
+
 def test_shards_empty_table(documents):
     assert shards.query(documents([])).collect() == []
