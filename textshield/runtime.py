@@ -90,6 +90,12 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a table of short rows for broadcast where a count proves it small; else leave the join to a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -109,4 +115,4 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() <= 2 * cores else df
 
 
-__all__ = ["prepare", "shared_dir", "written", "scratch", "drop_dir", "if_small", "load", "spread"]
+__all__ = ["prepare", "shared_dir", "written", "scratch", "drop_dir", "exists", "if_small", "load", "spread"]
