@@ -37,6 +37,23 @@ def test_exact_null_and_repeated_identifiers(documents):
     assert exact.kept_rows(documents([(1, "a", None), (1, "A", None), (2, "b", None)])).count() == 2
 
 
+@pytest.mark.parametrize("digest_bytes", [32, 1])
+def test_exact_state_meets_later_data(spark, documents, tmp_path, digest_bytes):
+    """Groups are those of all calls with one folder, whether their rows come from files or not."""
+    texts = TEXTS + [f"text {i % 130}" for i in range(390)]
+    calls = [list(range(0, 150)), list(range(150, 300)), [], list(range(300, len(texts)))]
+    seen = []
+    for n, call in enumerate(calls):
+        df = documents([(i, texts[i], None) for i in call])
+        if n == 1:
+            df.write.parquet(str(tmp_path / "in"))
+            df = spark.read.parquet(str(tmp_path / "in"))
+        seen += call
+        found = exact.deduplicate(df, folder=str(tmp_path / "state"), digest_bytes=digest_bytes).collect()
+        want = brute([texts[i] for i in seen])
+        assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in found} == {i: want[i] for i in call}
+
+
 def test_exact_empty_table(documents):
     assert exact.deduplicate(documents([])).collect() == []
 

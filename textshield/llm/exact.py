@@ -10,6 +10,7 @@ told apart by their bytes.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,8 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each of many small stores takes megabytes
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     "spark.sql.streaming.stateStore.minDeltasForSnapshot": "10",
 }
 
@@ -69,11 +71,9 @@ def _stream(spark: SparkSession, source: str, folder: str, schema: T.StructType,
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     shape = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("top", T.StructType([schema["doc_id"], schema["locator"]])), T.StructField("n", T.LongType()), T.StructField("batch", T.LongType())])
-    try:
+    if runtime.exists(spark, f"{folder}/state"):
         found = spark.read.schema(shape).parquet(f"{folder}/state")
-    except Exception:
-        if query.lastProgress is not None and query.lastProgress.numInputRows:
-            raise
+    else:
         found = spark.createDataFrame([], shape)  # no row came, so no batch was run
     latest = found.groupBy("digest").agg(F.max(F.struct("batch", "n", "top")).alias("s"))
     return latest.select("digest", F.col("s.top.doc_id").alias("keep_id"), F.col("s.top.locator").alias("keep_locator"), F.col("s.n").alias("group_size"))
@@ -97,29 +97,55 @@ def _texts_of(docs: DataFrame, hits: DataFrame, digest_bytes: int, text: str, ke
     return found if few is not None else found.join(hits.select("digest"), "digest", "left_semi")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", *, digest_bytes: int = 32, hits_sent: int = HITS_SENT, files_at_once: int | None = None) -> DataFrame:
+def _earlier_texts(spark: SparkSession, keys: DataFrame, text: str) -> DataFrame:
+    """Full normalised bytes of rows of earlier calls (doc_id, locator, digest), read from where their locators say."""
+    files = [r[0] for r in keys.select(F.substring_index("locator", "#", 1)).distinct().collect()]  # input files, not rows
+    if not files:
+        return spark.createDataFrame([], "doc_id long, locator string, digest binary, bytes binary")
+    located = rows.with_locator(spark.read.parquet(*files).select(F.col(text).alias("text")), "locator").join(keys, "locator")
+
+    def make():
+        return lambda batch: [pa.array([normalised(x) for x in rows.raw(batch.column("text"))], pa.binary())]
+
+    return rows.appended(located, [T.StructField("bytes", T.BinaryType())], make, keep=["doc_id", "locator", "digest"])
+
+
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", *, folder: str | None = None, digest_bytes: int = 32, hits_sent: int = HITS_SENT, files_at_once: int | None = None) -> DataFrame:
     """One row for each row: doc_id, locator, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest identifier stays; of repeated rows of that identifier, the one whose locator
     is last. A null text counts as empty; a null identifier is below all others. Very long texts are hashed and compared
     whole. Other columns are not read, whatever they are called; an empty table gives no rows. digest_bytes below 32
     makes digests collide, for tests of the comparison of bytes.
+
+    With a folder, the stream and its state go on from earlier calls with that folder: groups are those of all rows ever
+    given, of which the new ones come back. Hits are compared with the bytes of earlier copies, at their locators, so
+    files of earlier calls must still be there; a table that is not read from files is written into the folder.
     """
     spark = runtime.prepare(docs.sparkSession)
-    docs = rows.settled(docs)
-    folder = runtime.shared_dir(spark, "exact")
+    lasting = folder is not None
+    if lasting and (settled := rows.settled(docs, f"{folder}/texts/{uuid.uuid4().hex}")) is not docs:
+        docs = settled
+    elif not lasting:
+        docs, folder = rows.settled(docs), runtime.shared_dir(spark, "exact")
     keys = _keys(docs, digest_bytes, text, key)
-    keys.write.parquet(f"{folder}/keys")
-    keys = spark.read.schema(keys.schema).parquet(f"{folder}/keys")
-    latest = _stream(spark, f"{folder}/keys", folder, keys.schema, files_at_once)
-    latest.write.parquet(f"{folder}/latest")
-    latest = spark.read.schema(latest.schema).parquet(f"{folder}/latest")
+    schema, earlier = keys.schema, None
+    if lasting:
+        keys = runtime.written(keys, "exact-keys")
+        earlier = spark.read.schema(schema).parquet(f"{folder}/keys") if runtime.exists(spark, f"{folder}/keys") else None
+        earlier = earlier if earlier is None else runtime.written(earlier.join(keys.select("digest").distinct(), "digest", "left_semi").select(*schema.names), "exact-earlier")
+    keys.write.mode("append").parquet(f"{folder}/keys")
+    if not lasting:
+        keys = spark.read.schema(schema).parquet(f"{folder}/keys")
+    latest = _stream(spark, f"{folder}/keys", folder, schema, files_at_once)
+    latest = runtime.written(latest.join(keys.select("digest").distinct(), "digest", "left_semi") if lasting else latest, "exact-latest")
     answer = F.struct("keep_id", "keep_locator", "group_size")
     hits = latest.where("group_size > 1")
     seen = _texts_of(docs, hits, digest_bytes, text, key, hits_sent)
+    if earlier is not None:
+        seen = seen.unionByName(_earlier_texts(spark, earlier.join(hits.select("digest"), "digest", "left_semi").select("doc_id", "locator", "digest"), text))
     differ = seen.groupBy("digest").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b")).where("a != b").select("digest")
-    differ.write.parquet(f"{folder}/differ")
-    differ = spark.read.schema(differ.schema).parquet(f"{folder}/differ")
+    differ = runtime.written(differ, "exact-differ")
     if differ.isEmpty():
         out = keys.join(latest.select("digest", answer.alias("s")), "digest")
     else:
@@ -132,10 +158,11 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", *, dig
 
 
 def kept_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows that stay, with all their columns."""
+    """The rows that stay, with all their columns, whatever they are called; edge cases are those of deduplicate."""
     docs = rows.settled(docs)
-    dropped = deduplicate(docs, text, key).where(~F.col("kept")).select(F.col("locator").alias("__dropped"))
-    dropped = runtime.written(dropped, "exact-dropped")
+    with runtime.scratch(docs.sparkSession):
+        dropped = deduplicate(docs, text, key).where(~F.col("kept")).select(F.col("locator").alias("__dropped"))
+        dropped = runtime.written(dropped, "exact-dropped", keep=True)
     mark = rows.free_name(docs, "locator")
     return rows.with_locator(docs, mark).join(runtime.if_small(dropped), F.col(mark) == F.col("__dropped"), "left_anti").drop(mark)
 
