@@ -44,6 +44,30 @@ def test_warc_files_hold_the_records(spark, tmp_path):
     assert warc.split_warc(gzip.compress(b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")) == [("WARC/1.0\r\nContent-Length: 3\r\n\r\n", b"abc")]
 
 
+def test_records_from_elsewhere_come_back_as_they_were(spark, tmp_path):
+    head = b"WARC/1.1\r\nwarc-type: %s\r\nX-Odd:  kept  \r\nContent-Length: %d\r\n\r\n"
+    blocks = [(b"response", b"same bytes \xff\x00"), (b"resource", b"same bytes \xff\x00"), (b"metadata", b""), (b"request", b"GET /")]
+    (tmp_path / "in.warc").write_bytes(b"".join(head % (kind, len(b)) + b + b"\r\n\r\n" for kind, b in blocks))
+    records = warc.import_warc(spark, str(tmp_path / "in.warc"))
+    folder = warc.write_archive(pages(spark, FOUND), str(tmp_path / "a"))
+    warc.archive_records(records, folder)
+    warc.archive_records(records.limit(1), folder)
+    back = [(r.header.encode(), bytes(r.payload), r.record_type, r.page_id) for r in warc.read_archive(spark, folder).collect()]
+    want = [(head % (kind, len(b)), b, kind.decode(), None) for kind, b in [*blocks, blocks[0]]]
+    assert sorted(x for x in back if b"X-Odd" in x[0]) == sorted(want)
+    assert len(back) == len(FOUND) + 5
+    stored = spark.read.parquet(folder + "/payloads")
+    assert stored.count() == 6 == stored.select("digest").distinct().count()
+
+
+def test_a_very_long_payload_and_null_ids(spark):
+    long = "é<p>" * 500_000
+    found = warc.query(pages(spark, [(None, "http://a", long), (None, "http://b", long), (8, "http://c", long), (8, None, None)])).collect()
+    assert sorted((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to)) for r in found) == [
+        ("8", 0, "response", "None"), ("8", 2_500_000, "response", "None"), ("None", 2_500_000, "revisit", "8"), ("None", 2_500_000, "revisit", "8"),
+    ]
+
+
 def test_archive_of_nothing(spark):
     assert warc.query(pages(spark, FOUND).limit(0)).collect() == []
 

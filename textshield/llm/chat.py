@@ -156,7 +156,9 @@ DIGESTS = T.StructType(
 def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame:
     """One row for each formatted conversation: its turns and its text under the loss mask, read from the output alone.
 
-    Works on the partitions of format_conversations as they are, and holds one turn at a time.
+    Works on the partitions of format_conversations as they are, and holds one turn at a time. An empty text gives an
+    empty segment and counts no character, repeated turns are counted each, the conversation of null rows is one row, and
+    no segment gives no row.
     """
 
     def run(batches):

@@ -76,19 +76,40 @@ def write_archive(pages: DataFrame, folder: str, url: str = "url", body: str = "
     return folder
 
 
+def archive_records(records: DataFrame, folder: str, header: str = "header", block: str = "block") -> str:
+    """Store records that came from elsewhere (import_warc): their headers exactly, each distinct block once.
+
+    Blocks are stored under their own SHA-256, whatever the header says of a digest. A null block is empty, repeated
+    records stay, each with its header. Read back with read_archive; the folder may be one that write_archive filled.
+    """
+    runtime.prepare(records.sparkSession)
+    full = rows.with_locator(rows.settled(records.select(F.col(header).alias("header"), F.coalesce(F.col(block), F.lit(b"")).alias("payload"))), "locator")
+    slim = runtime.written(full.select("header", "locator", F.sha2("payload", 256).alias("digest")), "archive-records")
+    slim.select("header", "digest").write.mode("append").parquet(f"{folder}/headers")
+    there = records.sparkSession.createDataFrame([], "digest string")
+    if runtime.exists(records.sparkSession, f"{folder}/payloads"):
+        there = records.sparkSession.read.schema("digest string, payload binary").parquet(f"{folder}/payloads").select("digest")
+    first = slim.groupBy("digest").agg(F.min("locator").alias("locator")).join(there, "digest", "left_anti")
+    stored = full.join(runtime.if_small(runtime.written(first, "archive-first")), "locator")
+    stored.select("digest", "payload").write.mode("append").option("compression", "zstd").parquet(f"{folder}/payloads")
+    return folder
+
+
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     """The original records: header, payload (a revisit's is that of its response), record_type, page_id, refers_to, digest.
 
-    Fails if stored bytes do not have the digest that they are stored under.
+    Repeated records come back as often as they were stored, an empty archive gives none, and a record from elsewhere has
+    no page_id unless its identifier is of the form that write_archive gives. Fails if stored bytes do not have the digest
+    that they are stored under.
     """
     kept = spark.read.schema("digest string, payload binary").parquet(f"{folder}/payloads")
     checked = kept.select("digest", F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("digest"))).cast("binary")).alias("payload"))
     heads = spark.read.schema("header string, digest string").parquet(f"{folder}/headers")
-    field = lambda name, what: F.nullif(F.regexp_extract("header", f"\r\n{name}: {what}\r\n", 1), F.lit(""))
+    field = lambda name, what: F.nullif(F.regexp_extract("header", f"(?i)\r\n{name}:[ \t]*{what}[ \t]*\r\n", 1), F.lit(""))
     page = "<urn:page:(-?[0-9]*)>"
     parsed = heads.select(
         "header",
-        field("WARC-Payload-Digest", "sha256:([0-9a-f]{64})").alias("digest"),
+        "digest",
         field("WARC-Type", "([a-z]+)").alias("record_type"),
         field("WARC-Record-ID", page).cast("long").alias("page_id"),
         field("WARC-Refers-To", page).cast("long").alias("refers_to"),
