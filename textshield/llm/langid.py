@@ -27,6 +27,9 @@ MOST_LANGUAGES = 4096
 #: Characters handled at once; a longer text makes a piece of its own.
 AT_ONCE = 400_000
 
+#: N-grams whose vectors are made and summed at once.
+GRAMS = 4096
+
 UNDETERMINED = "und"
 
 _GAP = 0
@@ -69,19 +72,21 @@ def text_vectors(found: list[np.ndarray]) -> np.ndarray:
     """The bundled vectors of texts given by their symbols, a row each; no trigram: zero."""
     alphabet, place = np.unique(np.concatenate(found), return_inverse=True)
     k = len(alphabet)
-    ends = np.cumsum([len(x) for x in found])
     owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
     key = (place[:-2] * k + place[1:-1]) * k + place[2:]
     inside = owner[:-2] == owner[2:]
     if not inside.any():
         return np.zeros((len(found), DIMENSIONS), np.float32)
-    del ends
     grams, column = np.unique(key[inside], return_inverse=True)
-    counts = np.bincount(owner[:-2][inside] * len(grams) + column, minlength=len(found) * len(grams)).reshape(len(found), len(grams))
+    pairs, counts = np.unique(column * len(found) + owner[:-2][inside], return_counts=True)  # by n-gram, then by text
+    column, owner = pairs // len(found), pairs % len(found)
     out = np.zeros((len(found), DIMENSIONS), np.float32)
-    for at in range(0, len(grams), 4096):
-        g = grams[at : at + 4096]
-        out += counts[:, at : at + 4096].astype(np.float32) @ ngram_vectors(alphabet[g // (k * k)], alphabet[g // k % k], alphabet[g % k])
+    for at in range(0, len(grams), GRAMS):  # only this many n-grams' vectors, and their counts by text, are held at once
+        g = grams[at : at + GRAMS]
+        a, b = np.searchsorted(column, (at, at + len(g)))
+        some = np.zeros((len(found), len(g)), np.float32)
+        some[owner[a:b], column[a:b] - at] = counts[a:b]
+        out += some @ ngram_vectors(alphabet[g // (k * k)], alphabet[g // k % k], alphabet[g % k])
     return out
 
 
@@ -101,10 +106,12 @@ def groups(texts: list[str]):
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Prototypes of the languages of a labelled table, from about per_language texts of each (rows.labelled_sample).
 
-    Rows without label or text teach nothing. Returns the languages in order and a matrix with a row for each.
+    Rows without label or text teach nothing; repeated rows and ties count each, unless they share key and text: such
+    rows are all in the sample or none is. An empty table gives no language. Very long texts are read whole. Other columns
+    are not read. Returns the languages in order and a matrix with a row for each.
     """
     runtime.prepare(docs.sparkSession)
-    sample = rows.labelled_sample(docs.select(text, label, key).where(F.col(text).isNotNull()), label, key, per_language)
+    sample = rows.labelled_sample(docs.select(text, label, key).where(F.col(text).isNotNull()), label, key, per_language, text)
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -126,6 +133,29 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     return names, np.array([[x["x"] for x in r["v"]] for r in found], np.float64).reshape(len(names), DIMENSIONS)
 
 
+def predictor(model: tuple[list[str], np.ndarray]):
+    """A function from texts to their languages and cosines."""
+    names, prototypes = model
+    unit = prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12) if names else None
+
+    def each(texts: list[str]) -> tuple[list[str], list[float]]:
+        best, cosine = [], []
+        for _, found in groups(texts):
+            if unit is None:
+                best += [UNDETERMINED] * len(found)
+                cosine += [0.0] * len(found)
+                continue
+            v = text_vectors(found).astype(np.float64)
+            c = v @ unit.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+            for x, i, row in zip(found, c.argmax(1), c, strict=True):
+                known = bool((x != _GAP).any())
+                best.append(names[i] if known else UNDETERMINED)
+                cosine.append(min(1.0, max(0.0, float(row[i]))) if known else 0.0)
+        return best, cosine
+
+    return each
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", language: str = "lang_pred", score: str = "score") -> DataFrame:
     """Add the language of each whole text and its cosine (0 to 1; negative: 0); other columns stay.
 
@@ -134,31 +164,33 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     already called like the new ones give way.
     """
     runtime.prepare(docs.sparkSession)
-    names, prototypes = model
-    unit = prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12) if names else None
 
     def make():
-        def each(batch):
-            best, cosine = [], []
-            for _, found in groups(rows.texts(batch.column(text))):
-                if unit is None:
-                    best += [UNDETERMINED] * len(found)
-                    cosine += [0.0] * len(found)
-                    continue
-                v = text_vectors(found).astype(np.float64)
-                c = v @ unit.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                top = c.argmax(1)
-                for x, i, row in zip(found, top, c, strict=True):
-                    known = bool((x != _GAP).any())
-                    best.append(names[i] if known else UNDETERMINED)
-                    cosine.append(min(1.0, max(0.0, float(row[i]))) if known else 0.0)
-            return [pa.array(best, pa.string()), pa.array(cosine, pa.float64())]
-
-        return each
+        each = predictor(model)
+        return lambda batch: [pa.array(x, t) for x, t in zip(each(rows.texts(batch.column(text))), (pa.string(), pa.float64()), strict=True)]
 
     return rows.appended(docs, [T.StructField(language, T.StringType()), T.StructField(score, T.DoubleType())], make)
 
 
+def told(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float, text: str = "text") -> DataFrame:
+    """The rows whose language can be told with a cosine of `least` or more; all columns stay, whatever they are called.
+
+    What predict() says of null, empty and repeated texts holds: those that are `und` go.
+    """
+    runtime.prepare(docs.sparkSession)
+
+    def make():
+        each = predictor(model)
+
+        def keep(batch):
+            languages, cosines = each(rows.texts(batch.column(text)))
+            return [x != UNDETERMINED and c >= least for x, c in zip(languages, cosines, strict=True)]
+
+        return keep
+
+    return rows.filtered(docs, make)
+
+
 def held_out(key: str = "doc_id"):
     """Whether a row is kept from training: a quarter of all, by a checksum of the id (null: of nothing)."""
     return F.crc32(F.encode(F.coalesce(F.col(key).cast("string"), F.lit("")), "UTF-8")) % 4 == 2

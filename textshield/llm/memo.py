@@ -117,4 +117,5 @@ class Memo:
             parts.append(ids)
             ends.append(size + stops[lists.offsets.to_numpy() - lists.offsets[0].as_py()][1:])
             size += len(ids)
+            rows.release(collect=False)  # what the split and the new words took
         return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.concatenate(ends)

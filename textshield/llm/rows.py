@@ -17,9 +17,10 @@ from pyspark.sql import types as T
 from textshield import runtime
 
 
-def release() -> None:
+def release(collect: bool = True) -> None:
     """Give memory that a task no longer uses back to the system: workers live on, beside the next stage's heap."""
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -35,15 +36,18 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The table itself if its rows come straight from files, else as written to the shared folder.
+def settled(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The table itself if its rows come straight from files, else as written to the path, or to the shared folder.
 
     Only rows of files have a place that is the same in every pass, whatever columns a pass reads.
     """
     try:
         df.select("_metadata.file_path", "_metadata.row_index")
     except AnalysisException:
-        return runtime.written(df, "settled")
+        if path is None:
+            return runtime.written(df, "settled")
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     return df
 
 
@@ -59,7 +63,7 @@ def appended(df: DataFrame, add: list[T.StructField], make: Callable[[], Callabl
     """
     names = {f.name.lower() for f in add}
     rest = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
-    schema = T.StructType([*(f for f in df.schema if f.name in rest), *add])
+    schema = T.StructType([*(df.schema[c] for c in rest), *add])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
@@ -73,16 +77,36 @@ def appended(df: DataFrame, add: list[T.StructField], make: Callable[[], Callabl
     return df.mapInArrow(run, schema)
 
 
-def labelled_sample(docs: DataFrame, label: str, key: str, per_label: int) -> DataFrame:
-    """About per_label rows of each label at most (never over twice as many), chosen by a hash of the key alone.
+def filtered(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
+    """The rows that a function, made once per task, says yes to, batch by batch; all columns stay as they are."""
 
-    Passes over the label column alone count; each label then keeps the hashes below per_label / count. The counts, one
-    row for each label, are broadcast where there are few enough of them.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = make()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(each(batch), pa.bool_()))
+        del each
+        release()
+
+    return df.mapInArrow(run, df.schema)
+
+
+#: Labels whose shares are sent to every task; of more labels, rows are joined with them.
+LABELS_SENT = 10_000
+
+
+def labelled_sample(docs: DataFrame, label: str, key: str, per_label: int, text: str = "text") -> DataFrame:
+    """About per_label rows of each label at most, chosen by a hash of key and text; rows that share both go together.
+
+    One pass over the label column counts; each label then keeps the hashes below per_label / count.
     """
-    counts = docs.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("__label")).count()
-    shares = counts.select("__label", (F.least(F.lit(1.0), F.lit(float(per_label)) / F.col("count")) * F.lit(float(1 << 31))).cast("long").alias("__below"))
-    point = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 31))
-    return docs.join(runtime.if_small(shares), F.col(label) == F.col("__label")).where(point < F.col("__below")).drop("__label", "__below")
+    counts = docs.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("__of_label")).count()
+    shares = counts.select("__of_label", (F.least(F.lit(1.0), F.lit(float(per_label)) / F.col("count")) * F.lit(float(1 << 31))).cast("long").alias("__of_below"))
+    few = shares.take(LABELS_SENT + 1)
+    if len(few) <= LABELS_SENT:
+        shares = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in few], shares.schema))
+    point = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit("sample")), F.lit(1 << 31))
+    return docs.join(shares, F.col(label) == F.col("__of_label")).where(point < F.col("__of_below")).drop("__of_label", "__of_below")
 
 
 def texts(column: pa.Array) -> list[str]:

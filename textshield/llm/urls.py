@@ -137,7 +137,7 @@ def learn_bayes(pages: DataFrame, rules: Rules, segmenter: Segmenter, url: str =
         return each
 
     labelled = rows.appended(pages.select(url, key), [T.StructField("verdict", T.StringType())], label)
-    sample = rows.labelled_sample(labelled, "verdict", key, per_class)
+    sample = rows.labelled_sample(labelled, "verdict", key, per_class, url)
 
     def run(batches):
         for batch in batches:
