@@ -161,10 +161,9 @@ def kept_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     """The rows that stay, with all their columns, whatever they are called; edge cases are those of deduplicate."""
     docs = rows.settled(docs)
     with runtime.scratch(docs.sparkSession):
-        dropped = deduplicate(docs, text, key).where(~F.col("kept")).select(F.col("locator").alias("__dropped"))
+        dropped = deduplicate(docs, text, key).where(~F.col("kept")).select("locator")
         dropped = runtime.written(dropped, "exact-dropped", keep=True)
-    mark = rows.free_name(docs, "locator")
-    return rows.with_locator(docs, mark).join(runtime.if_small(dropped), F.col(mark) == F.col("__dropped"), "left_anti").drop(mark)
+    return rows.without(docs, dropped)
 
 
 ORACLE = """

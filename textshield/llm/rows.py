@@ -77,6 +77,13 @@ def appended(df: DataFrame, add: list[T.StructField], make: Callable[[], Callabl
     return df.mapInArrow(run, schema)
 
 
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of a settled table whose place is not among those dropped (one column); columns stay, whatever they are called."""
+    mark = free_name(docs, "locator")
+    gone = free_name(docs, f"{mark}_dropped")
+    return with_locator(docs, mark).join(runtime.if_small(dropped.toDF(gone)), F.col(mark) == F.col(gone), "left_anti").drop(mark)
+
+
 def filtered(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
     """The rows that a function, made once per task, says yes to, batch by batch; all columns stay as they are."""
 
@@ -100,13 +107,14 @@ def labelled_sample(docs: DataFrame, label: str, key: str, per_label: int, text:
 
     One pass over the label column counts; each label then keeps the hashes below per_label / count.
     """
-    counts = docs.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("__of_label")).count()
-    shares = counts.select("__of_label", (F.least(F.lit(1.0), F.lit(float(per_label)) / F.col("count")) * F.lit(float(1 << 31))).cast("long").alias("__of_below"))
+    of, below = free_name(docs, "__of_label"), free_name(docs, "__of_below")
+    counts = docs.where(F.col(label).isNotNull()).groupBy(F.col(label).alias(of)).agg(F.count(F.lit(1)).alias(below))
+    shares = counts.select(of, (F.least(F.lit(1.0), F.lit(float(per_label)) / F.col(below)) * F.lit(float(1 << 31))).cast("long").alias(below))
     few = shares.take(LABELS_SENT + 1)
     if len(few) <= LABELS_SENT:
         shares = F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in few], shares.schema))
     point = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit("sample")), F.lit(1 << 31))
-    return docs.join(shares, F.col(label) == F.col("__of_label")).where(point < F.col("__of_below")).drop("__of_label", "__of_below")
+    return docs.join(shares, F.col(label) == F.col(of)).where(point < F.col(below)).drop(of, below)
 
 
 def texts(column: pa.Array) -> list[str]:
