@@ -79,6 +79,28 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert again == {(r.doc_id, r.piece, r.length, r.ids_crc32) for r in pieces}
 
 
+CLASHES = "kept score lang_pred n_words locator group digest row fp fps k bytes size family __language __dropped __of_label shard rank".split()
+
+
+def test_columns_with_names_of_ours_and_repeated_rows(spark, tmp_path):
+    rows = corpus()
+    rows += [rows[7], rows[7], (None, rows[9][1], "en"), (None, rows[9][1] + " more", None)]
+    schema = "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in CLASHES)
+    spark.createDataFrame([(*r, *(f"{c} {r[0]}" for c in CLASHES)) for r in rows], schema).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = runtime.load(spark, str(tmp_path), "documents")
+    names, counts = docs.columns, []
+    for name, stage in P.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == names
+        kept.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        found = docs.collect()
+        assert all(r[c] == f"{c} {r.doc_id}" for r in found for c in CLASHES)
+        counts.append((sum(r.doc_id == 7 for r in found), sum(r.doc_id is None for r in found), sum(r.doc_id == 9 for r in found)))
+    assert counts == [(3, 2, 1), (3, 2, 1), (1, 1, 1), (1, 0, 1)]
+    assert P.pack(spark, docs, str(tmp_path)).count() == len(found)
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert P.run(spark, str(tmp_path)).collect() == []

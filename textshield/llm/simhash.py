@@ -9,7 +9,7 @@ all pairs. A bucket of more classes than BUCKET is dealt out
 again by masks over the bits that its own mask leaves free, built the same way; what shares a bucket then is compared at
 once, however many classes it has.
 
-Where a link counts only if the texts are similar too (similar_groups), a tree is not enough: see there.
+Where a link counts only if the texts are similar too, a tree is not enough: see similar_groups.
 """
 
 from __future__ import annotations
@@ -32,15 +32,17 @@ SHINGLE, RADIUS, SEED = 3, 3, 42
 BUCKET = 16384
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """A bit is set if over half of the shingles' hashes have it; no word: zero."""
+def _hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Of each shingle, repeats included; of a text of fewer words one, of no word none."""
     words = text.lower().split()
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
     h, join = xxhash.xxh64_intdigest, b" ".join
-    hashes = np.fromiter((h(join(s), SEED) for s in zip(*(words[i:] for i in range(shingle)), strict=False)), np.uint64, len(words) - shingle + 1)
+    if len(words) <= shingle:
+        return np.array([h(join(words), SEED)] if words else [], np.uint64)
+    return np.fromiter((h(join(s), SEED) for s in zip(*(words[i:] for i in range(shingle)), strict=False)), np.uint64, len(words) - shingle + 1)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """A bit is set if over half of the hashes have it."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536]
@@ -48,6 +50,28 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """A bit is set if over half of the shingles' hashes have it; no word: zero."""
+    return _majority(_hashes(text, shingle))
+
+
+def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Other hashes of the same shingles: the k-th step of a splitmix generator over them; the 0th are they."""
+    if not k:
+        return hashes
+    with np.errstate(over="ignore"):
+        z = hashes + np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+def fingerprints(text: bytes, shingle: int, many: int) -> list[int]:
+    """So many fingerprints, the first of which is the text's fingerprint."""
+    hashes = _hashes(text, shingle)
+    return [_majority(remixed(hashes, k)) for k in range(many)]
+
+
 def covering_masks(bits: list[int], radius: int) -> list[int]:
     """2^(radius + 1) - 1 masks over the given bits; any `radius` of them are outside of one mask.
 
@@ -154,9 +178,9 @@ def _dealt_again(members: DataFrame, masks: list[int], radius: int) -> DataFrame
         for batch in batches:
             bucket, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "fp"))
             for i in np.unique(bucket):
-                mine = fp[bucket == i].astype(np.int64)
-                for j, sub in enumerate(covering_masks([b for b in range(64) if not masks[int(i)] >> b & 1], radius)):
-                    key = mine & np.int64(signed(masks[int(i)] | sub))
+                mine, mask = fp[bucket == i].astype(np.int64), masks[int(i) % len(masks)]
+                for j, sub in enumerate(covering_masks([b for b in range(64) if not mask >> b & 1], radius)):
+                    key = mine & np.int64(signed(mask | sub))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), int(i) * len(masks) + j, np.int32)), pa.array(key), pa.array(mine)], ["bucket", "key", "fp"])
 
     return members.select("bucket", "fp").mapInArrow(run, "bucket int, key long, fp long")
@@ -177,22 +201,16 @@ def links(classes: DataFrame, radius: int = RADIUS, most: int = BUCKET, star: bo
     return found.distinct()
 
 
-#: A bucket gives all its pairs at once if they are at most so many for each of its classes.
-DENSE = 4
-
+#: A bucket gives its pairs if they are at most so many for each of its classes, else a tree.
+DENSE = 1
 
-def near(found: np.ndarray, radius: int, labels: np.ndarray | None = None):
-    """All pairs of sorted distinct fingerprints within the radius, as arrays (a, b), block by block.
 
-    With labels only those of different ones; label -1 differs from all.
-    """
+def near(found: np.ndarray, radius: int):
+    """All pairs of sorted distinct fingerprints within the radius, as arrays (a, b), block by block."""
     step = max(1, (1 << 20) // max(1, len(found)))
     for s in range(0, len(found) - 1, step):
         i, j = np.nonzero(np.bitwise_count((found[s : s + step, None] ^ found[None, s + 1 :]).view(np.uint64)) <= radius)
         i, j = i[j >= i] + s, j[j >= i] + s + 1
-        if labels is not None:
-            differ = (labels[i] != labels[j]) | (labels[i] < 0)
-            i, j = i[differ], j[differ]
         if len(i):
             yield found[i], found[j]
 
@@ -226,46 +244,53 @@ def _buckets(batches, names: tuple[str, ...], most: int | None):
         yield joined()
 
 
-COMPARED = "a long, b long, bucket int, key long, fp long, large boolean"
+COMPARED = "k int, a long, b long, tree boolean, bucket int, fp long"
 
 
 def _dealt(classes: DataFrame, masks: list[int]) -> DataFrame:
-    """Each fingerprint once for each mask; the masks are no part of the plan."""
+    """Each fingerprint (the k-th of its texts, fp) once for each mask, whose buckets are numbered from k times the masks on.
+
+    The masks are no part of the plan.
+    """
 
     def run(batches):
         by = np.array([signed(m) for m in masks], np.int64)
         for batch in batches:
-            fp = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
+            k, fp = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("k", "fp"))
             for at in range(0, len(fp), 512):
                 x = fp[at : at + 512]
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(len(by), dtype=np.int32), len(x))), pa.array((x[:, None] & by[None, :]).ravel()), pa.array(np.repeat(x, len(by)))], ["bucket", "key", "fp"])
+                bucket = k[at : at + 512, None] * len(by) + np.arange(len(by))[None, :]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().astype(np.int32)), pa.array((x[:, None] & by[None, :]).ravel()), pa.array(np.repeat(x, len(by)))], ["bucket", "key", "fp"])
         rows.release()
 
-    return classes.select("fp").mapInArrow(run, "bucket int, key long, fp long")
+    return classes.select("k", "fp").mapInArrow(run, "bucket int, key long, fp long")
+
 
+def _compare(dealt: DataFrame, radius: int, most: int | None, dense: int, per: int) -> DataFrame:
+    """All pairs of each bucket (k, a, b); of a dense one a tree of them; of one of over `most` classes its members (bucket, fp).
 
-def _compare(dealt: DataFrame, radius: int, most: int | None, dense: int) -> DataFrame:
-    """All pairs of each bucket (a, b); of a dense one a tree and its members, of one of over `most` classes its members."""
+    per: buckets of one k.
+    """
 
     def run(batches):
         out, rows_ = [], 0
 
         def made():
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*out, strict=True)], ["a", "b", "bucket", "key", "fp", "large"])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*out, strict=True)], ["k", "a", "b", "tree", "bucket", "fp"])
 
-        def pairs(a, b):
+        def pairs(bucket, a, b, tree):
             n = len(a)
-            out.append([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())])
+            out.append([pa.array(np.full(n, bucket // per, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(n, tree)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())])
             return n
 
-        def members(bucket, key, fp, large):
+        def members(bucket, fp):
             n = len(fp)
-            out.append([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, bucket, np.int32)), pa.array(np.full(n, key, np.int64)), pa.array(fp, pa.int64()), pa.array(np.full(n, large))])
+            out.append([pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.array(np.full(n, bucket, np.int32)), pa.array(fp, pa.int64())])
             return n
 
-        for bucket, key, (fp,), large in _buckets(batches, ("fp",), most):
+        for bucket, _, (fp,), large in _buckets(batches, ("fp",), most):
             if large:
-                rows_ += members(bucket, key, fp, True)
+                rows_ += members(bucket, fp)
             else:
                 fp, found, n = np.sort(fp), [], 0
                 for a, b in near(fp, radius):
@@ -274,10 +299,9 @@ def _compare(dealt: DataFrame, radius: int, most: int | None, dense: int) -> Dat
                     if n > dense * len(fp):
                         break
                 if n > dense * len(fp):
-                    tree = components(fp, radius, star=False)
-                    rows_ += pairs(*map(list, zip(*tree, strict=True))) + members(bucket, key, fp, False)
+                    rows_ += pairs(bucket, *map(list, zip(*components(fp, radius, star=False), strict=True)), True)
                 else:
-                    rows_ += sum(pairs(a, b) for a, b in found)
+                    rows_ += sum(pairs(bucket, a, b, False) for a, b in found)
             if rows_ >= 20_000:
                 yield made()
                 out, rows_ = [], 0
@@ -289,30 +313,18 @@ def _compare(dealt: DataFrame, radius: int, most: int | None, dense: int) -> Dat
     return dealt.repartition("bucket", "key").sortWithinPartitions("bucket", "key").mapInArrow(run, COMPARED)
 
 
-def candidates(classes: DataFrame, radius: int, most: int = BUCKET, dense: int = DENSE) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of distinct fingerprints (fp) within the radius, and members (bucket, key, fp) of dense buckets.
+def candidates(classes: DataFrame, radius: int, most: int = BUCKET, dense: int = DENSE) -> DataFrame:
+    """Pairs (k, a, b, tree) of distinct k-th fingerprints (k, fp) within the radius.
 
-    Every pair within the radius is among the former or shares a bucket of the latter, which then gave a tree only.
+    Every pair within the radius is among them, or is connected by pairs that are marked as those of a tree.
     """
     masks = covering_masks(list(range(64)), radius)
-    found = runtime.written(_compare(_dealt(classes, masks), radius, most, dense), "simhash-compared")
-    large = found.where("large")
+    n = len(masks)
+    found = runtime.written(_compare(_dealt(classes, masks), radius, most, dense, n), "simhash-compared")
+    large = found.where("fp is not null")
     if not large.isEmpty():
-        found = found.unionByName(runtime.written(_compare(_dealt_again(large, masks, radius), radius, None, dense).withColumn("bucket", F.col("bucket") + len(masks)), "simhash-compared"))
-    return found.where("a is not null").select("a", "b").distinct(), found.where("not large").select("bucket", "key", "fp")
-
-
-def apart(dense: DataFrame, labels: DataFrame, radius: int) -> DataFrame:
-    """Pairs (a, b) within the radius that share a dense bucket and differ in their label (fp, label; -1 differs from all)."""
-
-    def run(batches):
-        for _, _, (fp, label), _ in _buckets(batches, ("fp", "label"), None):
-            order = np.argsort(fp)
-            for a, b in near(fp[order], radius, label[order]):
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        rows.release()
-
-    return dense.join(labels, "fp").select("bucket", "key", "fp", "label").repartition("bucket", "key").sortWithinPartitions("bucket", "key").mapInArrow(run, "a long, b long").distinct()
+        found = found.unionByName(_compare(_dealt_again(large, masks, radius), radius, None, dense, n * n))
+    return found.where("a is not null").groupBy("k", "a", "b").agg(F.max("tree").alias("tree"))
 
 
 def shingles(text: bytes, words: int) -> frozenset:
@@ -353,6 +365,14 @@ def connected(pairs: DataFrame) -> DataFrame:
 
     Every round is written to the shared folder, where its lineage ends; rounds grow with the logarithm of a component.
     """
+    spark = pairs.sparkSession
+    with runtime.scratch(spark):
+        edges = runtime.written(_stars(pairs), "components", keep=True)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+def _stars(pairs: DataFrame) -> DataFrame:
+    """Links (u, v) of each node with the least member of its component."""
     edges = runtime.written(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")), "stars")
 
     def mark(df):
@@ -371,7 +391,7 @@ def connected(pairs: DataFrame) -> DataFrame:
         before, now = now, mark(edges)
         if now == before:
             break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    return edges
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *, shingle: int = SHINGLE, radius: int = RADIUS, most: int = BUCKET) -> DataFrame:
@@ -398,51 +418,124 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
     return prints.join(answer, "fp").select("doc_id", "locator", digits("fp").alias("fingerprint"), "component_id", digits("label").alias("cluster"))
 
 
-def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", *, shingle: int, radius: int, words: int = 5, least: float = 0.8, most: int = BUCKET, dense: int = DENSE) -> DataFrame:
+#: Rows, and bytes of text, of a family that are compared at once with as many others.
+BLOCK_ROWS, BLOCK_BYTES = 2000, 16 << 20
+
+
+def family_links(members: DataFrame, radius: int, words: int, least: float, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links (a, b) between rows (row, fps, text) of one family whose fingerprints and texts are near enough.
+
+    All such pairs are compared, but those that others link already; no pair is made a row but links, of which a task
+    gives fewer than it has rows. A large family is dealt into blocks, and each two blocks are a task of bounded size.
+    """
+    size = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / F.lit(block_rows), F.coalesce("bytes", F.lit(0)) / F.lit(block_bytes))).cast("int")
+    sized = members.join(size.select("family", blocks.alias("blocks")), "family").withColumn("block", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
+    paired = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = paired.select("family", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "row", "fps", "text")
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            own = zip(*(batch.column(c).to_pylist() for c in ("family", "p", "q", "block", "row", "fps")), rows.raw(batch.column("text")), strict=True)
+            out: list[tuple[int, int]] = []
+            for family, p, q, *row in own:
+                if (family, p, q) != at:
+                    out += _linked(held, at, radius, words, least)
+                    at, held = (family, p, q), []
+                held.append((*row[:3], hashed_shingles(row[3], words)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+        if out := _linked(held, at, radius, words, least):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+        del held
+        rows.release()
+
+    return paired.repartition("family", "p", "q").sortWithinPartitions("family", "p", "q").mapInArrow(run, "a long, b long")
+
+
+def _linked(held: list[tuple], at: tuple | None, radius: int, words: int, least: float) -> list[tuple[int, int]]:
+    """A forest of the links between rows (block, row, fingerprints, shingles) of two blocks, or within one."""
+    if len(held) < 2:
+        return []
+    one = at[1] == at[2]
+    block, row = np.array([h[0] for h in held]), [h[1] for h in held]
+    fps = np.array([h[2] for h in held], np.int64).view(np.uint64)
+    root, out = list(range(len(held))), []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i in range(1, len(held)):
+        apart = np.bitwise_count(fps[:i] ^ fps[i]).min(1)
+        close = np.flatnonzero((apart <= radius) if one else (apart <= radius) & (block[:i] != block[i]))
+        for j in close[np.argsort(apart[close], kind="stable")].tolist():
+            x, y = find(i), find(j)
+            if x != y and alike(held[i][3], held[j][3], least):
+                root[x] = y
+                out.append((min(row[i], row[j]), max(row[i], row[j])))
+    return out
+
+
+def hashed_shingles(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of so many lower-cased words; of a shorter text of the whole."""
+    return np.unique(_hashes(text, words)) if text.split() else np.zeros(1, np.uint64)
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is `least` or more."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < least * len(b):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both >= least * (len(a) + len(b) - both)
+
+
+def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", *, shingle: int, radius: int, prints: int = 1, words: int = 5, least: float = 0.8, most: int = BUCKET, dense: int = DENSE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows that are in a group of near copies: doc_id, locator, group.
 
-    Candidates are all pairs of rows whose fingerprints are within the radius; those whose shingles of `words` words
-    are similar enough are links. First the first rows of each two classes (of a dense bucket, those of a tree) and the
-    rows of one class with its first are compared. Then, so that no link is missed, every candidate that was not
-    compared and whose rows are still in different groups. Edge cases are those of near_duplicates.
+    A text has `prints` fingerprints, by as many hashes. Two rows are linked if some k-th fingerprints of theirs are
+    within the radius and their shingles of `words` words are similar enough. Where few fingerprints are near each other,
+    each such pair of rows is compared. Where many are, and where several rows share a fingerprint, the rows are one
+    family, in which all pairs are compared block by block (family_links). So no link is missed, and pairs are rows only
+    where they are few. Edge cases are those of near_duplicates.
     """
     runtime.prepare(docs.sparkSession)
     located = rows.with_locator(rows.settled(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "locator")
 
     def make():
-        return lambda batch: [pa.array([signed(fingerprint(x, shingle)) for x in rows.raw(batch.column("text"))], pa.int64())]
-
-    printed = rows.appended(located, [T.StructField("fp", T.LongType())], make, keep=["doc_id", "locator"])
-    prints = runtime.written(printed.withColumn("row", F.monotonically_increasing_id()), "simhash-prints")
-    classes = runtime.written(prints.groupBy("fp").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-classes")
-
-    def verified(pairs):
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-        known = runtime.written(prints.select("row", "locator").join(wanted, "row"), "simhash-wanted")
-        bodies = located.select(F.col("locator").alias("at"), "text").join(runtime.if_small(known), F.col("at") == F.col("locator")).select("row", "text")
-        return runtime.written(similar(pairs, runtime.written(bodies, "simhash-bodies"), words, least), "simhash-similar")
-
-    found, crowded = candidates(classes, radius, most, dense)
-    found = runtime.written(found, "simhash-found-pairs")
-    place = lambda c: classes.select(F.col("fp").alias(c), F.col("first").alias(f"row_{c}"), F.col("n").alias(f"n_{c}"))
-    placed = found.join(place("a"), "a").join(place("b"), "b")
-    within = prints.join(classes.where("n > 1"), "fp").where(F.col("row") != F.col("first")).select(F.col("first").alias("a"), F.col("row").alias("b"))
-    pairs = runtime.written(placed.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).unionByName(within), "simhash-pairs")
-    links_ = verified(pairs)
-    labels = connected(links_)
-
-    grouped = prints.select("row", "fp").join(labels.withColumnRenamed("node", "row"), "row", "left").select("row", "fp", F.coalesce("label", "row").alias("group"))
-    grouped = runtime.written(grouped, "simhash-grouped")
-    of_class = runtime.written(grouped.groupBy("fp").agg(F.min("group").alias("g"), F.max("group").alias("h")).select("fp", F.when(F.col("g") == F.col("h"), F.col("g")).otherwise(F.lit(-1)).alias("label")), "simhash-of-class")
-    several = placed.where("n_a > 1 or n_b > 1").select("a", "b")
-    mixed = of_class.where("label = -1").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    more = several.unionByName(apart(crowded, of_class, radius)).distinct().unionByName(mixed)
-    side = lambda c: grouped.select(F.col("fp").alias(c), F.col("row").alias(f"row_{c}"), F.col("group").alias(f"group_{c}"))
-    open_ = more.join(side("a"), "a").join(side("b"), "b").where("group_a != group_b and (a != b or row_a < row_b)")
-    left = runtime.written(open_.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).join(pairs, ["a", "b"], "left_anti"), "simhash-pairs")
-    if not left.isEmpty():
-        labels = connected(links_.unionByName(verified(left)))
-    return prints.join(labels.select(F.col("node").alias("row"), F.col("label").alias("group")), "row").select("doc_id", "locator", "group")
+        return lambda batch: [pa.array([[signed(x) for x in fingerprints(t, shingle, prints)] for t in rows.raw(batch.column("text"))], pa.list_(pa.int64()))]
+
+    printed = rows.appended(located, [T.StructField("fps", T.ArrayType(T.LongType()))], make, keep=["doc_id", "locator"])
+    known = runtime.written(printed.withColumn("row", F.monotonically_increasing_id()), "simhash-prints")
+    of = known.select("row", F.posexplode("fps").alias("k", "fp"))
+    classes = runtime.written(of.groupBy("k", "fp").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-classes")
+
+    place = lambda c: classes.select("k", F.col("fp").alias(c), F.col("first").alias(f"row_{c}"), F.col("n").alias(f"n_{c}"))
+    found = candidates(classes, radius, most, dense).join(place("a"), ["k", "a"]).join(place("b"), ["k", "b"])
+    crowded = F.col("tree") | (F.col("n_a") > 1) | (F.col("n_b") > 1)
+    pairs = found.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"), crowded.alias("crowded"))
+    pairs = runtime.written(pairs.where("a != b").groupBy("a", "b").agg(F.max("crowded").alias("crowded")), "simhash-pairs")
+    within = of.join(classes.where("n > 1"), ["k", "fp"]).where(F.col("first") != F.col("row")).select(F.col("first").alias("a"), F.col("row").alias("b"))
+    families = runtime.written(connected(pairs.where("crowded").select("a", "b").unionByName(within).distinct()), "simhash-families")
+
+    def bodies(wanted: DataFrame) -> DataFrame:
+        """Text of rows (row and more columns)."""
+        wanted = runtime.written(known.select("row", "locator", "fps").join(wanted, "row"), "simhash-wanted")
+        return located.select(F.col("locator").alias("at"), "text").join(runtime.if_small(wanted), F.col("at") == F.col("locator")).drop("at", "locator")
+
+    alone = pairs.where("not crowded").select("a", "b")
+    for c in ("a", "b"):  # pairs of one family are compared there
+        alone = alone.join(families.select(F.col("node").alias(c), F.col("label").alias(f"family_{c}")), c, "left")
+    alone = runtime.written(alone.where("family_a is null or family_b is null or family_a != family_b").select("a", "b"), "simhash-alone")
+    texts = runtime.written(bodies(alone.select(F.explode(F.array("a", "b")).alias("row")).distinct()).select("row", "text"), "simhash-bodies")
+    members = runtime.written(bodies(families.select(F.col("node").alias("row"), F.col("label").alias("family"))), "simhash-members")
+    links_ = similar(alone, texts, words, least).unionByName(family_links(members, radius, words, least, block_rows))
+    labels = connected(links_.distinct())
+    return known.join(labels.select(F.col("node").alias("row"), F.col("label").alias("group")), "row").select("doc_id", "locator", "group")
 
 
 def kept_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
@@ -451,8 +544,9 @@ def kept_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -
     The row of the smallest identifier stays (null last), of repeated ones the first place.
     """
     docs = rows.settled(docs)
-    found = runtime.written(similar_groups(docs, text, key, **how), "simhash-found")
-    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "locator")).alias("s"))
-    dropped = found.join(first.select(F.col("s.locator").alias("locator")), "locator", "left_anti").select(F.col("locator").alias("__dropped"))
-    mark = rows.free_name(docs, "locator")
-    return rows.with_locator(docs, mark).join(runtime.if_small(runtime.written(dropped, "simhash-dropped")), F.col(mark) == F.col("__dropped"), "left_anti").drop(mark)
+    with runtime.scratch(docs.sparkSession):
+        found = runtime.written(similar_groups(docs, text, key, **how), "simhash-found")
+        first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "locator")).alias("s"))
+        dropped = found.join(first.select(F.col("s.locator").alias("locator")), "locator", "left_anti").select("locator")
+        dropped = runtime.written(dropped, "simhash-dropped", keep=True)
+    return rows.without(docs, dropped)
