@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent
 
-#: Arrow batches stay small, so that a batch of very long texts fits beside the JVM heap.
-BATCH_ROWS, BATCH_BYTES = "2000", str(16 << 20)
+#: Arrow batches stay small: the JVM holds some for each task beside its heap, and rounds their buffers up.
+BATCH_ROWS, BATCH_BYTES = "1000", str(4 << 20)
 
 #: Largest table, in rows of some tens of bytes, that is sent whole to every executor.
 BROADCAST_ROWS = 1_000_000
