@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from textshield.llm import rows
 
 #: Distinct chunks, and words, that one worker keeps between runs of texts, and their bytes.
-KEPT, KEPT_BYTES = 400_000, 16 << 20
+KEPT, KEPT_BYTES = 250_000, 8 << 20
 
 #: Characters that need nothing of Unicode's tables but a fixed lower case; control strings are no words either.
 UNUSUAL = r"[^\t\n\r\x20-\x7e\x{a1}-\x{ff}]|<\|"

@@ -123,7 +123,7 @@ def texts(column: pa.Array) -> list[str]:
 
 
 #: Bytes of text that are split or counted at once; a longer text makes a slice of its own.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def slices(column: pa.Array) -> Iterator[pa.Array]:
