@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,11 @@ LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 
 SYMBOLS = "#*$%&|<>"
 
-#: Labelled texts of each language that a reference is learned from, about; common words kept of each; most languages.
-PER_LANGUAGE, COMMON, MOST_LANGUAGES = 2000, 40, 4096
+#: Common words kept of each language; most languages.
+COMMON, MOST_LANGUAGES = 40, 4096
+
+#: Words lower-cased at once, and words of a language added up at once.
+RUN, ADDED_UP = 20_000, 200_000
 
 
 @dataclass(frozen=True)
@@ -42,6 +46,7 @@ class Limits:
 
 
 _WORDS = re.compile("[^\x20\x09-\x0d]+")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 _EDGES = ".,;:!?\"'()"
 
 #: Kinds of characters: lower case, upper case, other letters and marks, digits, blanks, sentence marks, all else.
@@ -70,34 +75,36 @@ def kind_counts(text: str) -> np.ndarray:
 def repeated_words(words: list[str], window: int = WINDOW) -> int:
     """Words that lie in a window which occurs twice or more, first occurrences included.
 
-    Windows are numbered exactly: by equal pairs of words, then of pairs, and so on.
+    Windows are numbered exactly: by equal pairs of words, then of pairs, and so on. Where all of one length differ, so do
+    longer ones.
     """
     n = len(words) - window + 1
     if n < 2:
         return 0
-    number: dict[str, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    number = dict(zip(words, range(len(words)), strict=True))
     if len(number) > len(words) - window:  # too few words occur again
         return 0
-    size = 1
-    while size * 2 <= window:
-        pairs = ids[: len(ids) - size] * (int(ids.max()) + 1) + ids[size:]
-        ids, size = np.unique(pairs, return_inverse=True)[1], size * 2
-    if size < window:
-        pairs = ids[:n] * (int(ids.max()) + 1) + ids[window - size : window - size + n]
-        ids = np.unique(pairs, return_inverse=True)[1]
+    ids, size = np.fromiter(map(number.__getitem__, words), np.int64, len(words)), 1
+    while size < window:
+        step = min(size, window - size)
+        found, ids = np.unique(ids[: len(ids) - step] * (int(ids.max()) + 1) + ids[step:], return_inverse=True)
+        if len(found) == len(ids):
+            return 0
+        size += step
     again = (np.bincount(ids) > 1)[ids].astype(np.int64)
-    if not again.any():
-        return 0
     edge = np.zeros(len(words) + 1, np.int64)
     edge[:n] += again
-    edge[window : window + n] -= again
+    edge[window:] -= again
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
+def split(text: str) -> list[str]:
+    return text.split() if text.isascii() and not _SEPARATORS.search(text) else _WORDS.findall(text)
+
+
 def base(text: str) -> tuple[list[str], int, int, int, int]:
     """Words, their code points, symbols, duplicate lines, repeated words."""
-    words = text.split() if text.isascii() and not re.search("[\x1c-\x1f]", text) else _WORDS.findall(text)
+    words = split(text)
     lines = [x for x in text.split("\n") if _WORDS.search(x)]
     return words, sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
@@ -106,14 +113,6 @@ def failed(n_words: int, n_repeat: int) -> bool:
     return n_words < LEAST_WORDS or 100 * n_repeat > MOST_REPEATED * n_words
 
 
-def plain_words(words: list[str]) -> Counter:
-    """Counts of the lower-cased words without marks at their ends."""
-    out: Counter = Counter()
-    for w, n in Counter(words).items():
-        out[w.lower().strip(_EDGES)] += n
-    return out
-
-
 def distances(found: np.ndarray, references: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distance of one histogram from each row of distributions."""
     p = found / max(found.sum(), 1)
@@ -123,6 +122,12 @@ def distances(found: np.ndarray, references: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(parts.sum(-1) / 2, 0, 1))
 
 
+def plain_words(words: list[str]) -> Iterator[list[str]]:
+    """The words in lower case without marks at their ends, in runs of bounded length (a blank ends what lower() looks at)."""
+    for at in range(0, len(words), RUN):
+        yield [w.strip(_EDGES) for w in " ".join(words[at : at + RUN]).lower().split(" ")]
+
+
 class References:
     """Distributions of the languages: kinds of characters, and common words of any of them with one for all others."""
 
@@ -143,9 +148,8 @@ class References:
         a = distances(kind_counts(text), self.kinds) if len(text) >= limits.least_chars else None
         b = None
         if len(words) >= limits.least_words:
-            found, place = np.zeros(len(self.place) + 1), self.place
-            for w, n in plain_words(words).items():
-                found[place.get(w, -1)] += n
+            n = len(self.place) + 1
+            found = sum(np.bincount(np.fromiter(map(self.place.get, x, repeat(n - 1)), np.int64, len(x)), minlength=n) for x in plain_words(words))
             b = distances(found, self.words)
         worst = np.maximum(0 if a is None else a / limits.classes, 0 if b is None else b / limits.words)
         if np.ndim(worst) == 0:
@@ -154,34 +158,68 @@ class References:
         return self.languages[i], None if a is None else float(a[i]), None if b is None else float(b[i]), bool(worst[i] <= 1)
 
 
-def learn(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE, common: int = COMMON) -> References:
-    """References from about per_language labelled texts of each language (rows.labelled_sample).
+class _Taught:
+    """What texts of one language in a batch add to its sums."""
+
+    def __init__(self):
+        self.kinds, self.words, self.sizes, self.shares = np.zeros(KINDS + 1), [], [], []
+
+    def add(self, name: str, text: str, words: list[str]):
+        k = kind_counts(text)
+        self.kinds += np.append(k / k.sum(), 1)
+        for some in plain_words(words):
+            self.words += some
+            self.sizes.append(len(some))
+            self.shares.append(1 / len(words))
+            if len(self.words) >= ADDED_UP:
+                yield self.word_sums(name)
+
+    def word_sums(self, name: str) -> pa.RecordBatch:
+        found = pa.array(self.words, pa.string()).dictionary_encode()
+        sums = np.bincount(found.indices.to_numpy(), np.repeat(self.shares, self.sizes), len(found.dictionary))
+        self.words, self.sizes, self.shares = [], [], []
+        return _sums(name, "w", found.dictionary, sums)
+
+    def rest(self, name: str):
+        yield _sums(name, "k", pa.array(map(str, range(KINDS))), self.kinds[:KINDS])
+        yield _sums(name, "n", pa.array([""]), self.kinds[KINDS:])
+        if self.words:
+            yield self.word_sums(name)
+
+
+def _sums(name: str, what: str, which: pa.Array, x: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([c], pa.string()).take(pa.array(np.zeros(len(x), np.int64))) for c in (name, what)]
+    return pa.RecordBatch.from_arrays([*columns, which, pa.array(x, pa.float64())], ["name", "what", "which", "x"])
+
+
+def learn(docs: DataFrame, text: str = "text", label: str = "lang", common: int = COMMON) -> References:
+    """References from all labelled texts of each language.
 
-    Texts that fail the base rules teach nothing, nor do null ones; rows that share key and text are all in the sample or
-    none is. An empty table gives no reference. Other columns are not read. A word's share is the mean of its shares in single texts, and so is a
-    kind's, so that a few long texts do not make a reference.
+    Texts that fail the base rules teach nothing, nor do null ones; repeated rows teach once each. An empty table gives no
+    reference. Other columns are not read. A word's share is the mean of its shares in single texts, and so is a kind's, so
+    that a few long texts do not make a reference.
     """
     runtime.prepare(docs.sparkSession)
-    sample = rows.labelled_sample(docs.select(text, label, key).where(F.col(text).isNotNull()), label, key, per_language, text)
+    labelled = docs.select(text, label).where(F.col(text).isNotNull() & F.col(label).isNotNull())
 
     def run(batches):
         for batch in batches:
-            sums: Counter = Counter()
+            taught, found = {}, []
             for name, x in zip(batch.column(label).to_pylist(), rows.texts(batch.column(text)), strict=True):
-                words, _, symbols, _, again = base(x)
-                if failed(len(words), again) or 20 * symbols > len(words):
+                words = split(x)
+                if len(words) < LEAST_WORDS or 20 * sum(map(x.count, SYMBOLS)) > len(words) or failed(len(words), repeated_words(words)):
                     continue
-                sums[name, "n", ""] += 1
-                k = kind_counts(x)
-                for i, n in enumerate(k / k.sum()):
-                    sums[name, "k", str(i)] += float(n)
-                for w, n in plain_words(words).items():
-                    sums[name, "w", w] += n / len(words)
-            if sums:
-                yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in sums]) for i in range(3)), pa.array(list(map(float, sums.values())), pa.float64())], ["name", "what", "which", "x"])
+                if name not in taught:
+                    taught[name] = _Taught()
+                found += taught[name].add(name, x, words)
+            for name, one in taught.items():
+                found += one.rest(name)
+            if found:
+                yield from pa.Table.from_batches(found).combine_chunks().to_batches()
+            del taught, found
         rows.release()
 
-    parts = sample.mapInArrow(run, "name string, what string, which string, x double").groupBy("name", "what", "which").agg(F.sum("x").alias("x"))
+    parts = labelled.mapInArrow(run, "name string, what string, which string, x double").groupBy("name", "what", "which").agg(F.sum("x").alias("x"))
     order = Window.partitionBy("name", "what").orderBy(F.desc("x"), "which")
     top = parts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(common, KINDS)).where((F.col("what") != "w") | (F.col("r") <= common)).drop("r")
     found = top.take(MOST_LANGUAGES * (common + KINDS + 1) + 1)
