@@ -159,3 +159,28 @@ def test_plain_words_are_lowered_one_by_one(monkeypatch):
     words = ["ΟΔΟΣ", "ΑΣ'", "Σ", "\"İn!", "a\x1cB\xa0Σ", "...", "ΑΣ", "Β", "ẞ."] * 3
     monkeypatch.setattr(quality, "RUN", 4)
     assert [w for x in quality.plain_words(words) for w in x] == [w.lower().strip(".,;:!?\"'()") for w in words]
+
+
+def test_languages_are_learned_from_every_text(spark):
+    import numpy as np
+
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(EN) + r.choice("xyzäβ") for _ in range(3)), "en" if i % 7 else "de") for i in range(6000)]
+    rows += [(6001, None, "fr"), (6002, "12", "es"), (6003, "none", None), (6004, rows[1][1], "en"), (6004, rows[1][1], "en")]
+    names, found = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    assert names == ["de", "en", "es"]
+    for name, v in zip(names, found, strict=True):
+        vectors = langid.text_vectors([langid.symbols(t) for _, t, lang in rows if lang == name])
+        assert (v == vectors.sum(0, dtype=np.float64)).all()
+
+
+def test_counts_handed_on_in_parts_add_up(monkeypatch):
+    found = [langid.symbols(t) for t in texts(EN, ["th", "ä"], 6, 4) + ["", "a", "\U0010ffff\U0001d41a b"]]
+    want = langid.text_vectors(found).sum(0)
+    monkeypatch.setattr(langid, "GRAMS", 5)
+    counts = langid._Counts()
+    counts.add("x", found[:4])
+    counts.add("x", found[4:])
+    counts.add("y", found[6:7])
+    made = {r["name"]: r["v"] for b in counts.vectors() for r in b.to_pylist()}
+    assert made["x"] == want.tolist() and not any(made["y"])

@@ -104,3 +104,13 @@ def test_columns_with_names_of_ours_and_repeated_rows(spark, tmp_path):
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert P.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_learn_from_every_text(spark, tmp_path, monkeypatch):
+    from textshield.llm import rows as helpers
+
+    monkeypatch.delattr(helpers, "labelled_sample")
+    docs = spark.createDataFrame([(i, t, lang) for i, t, lang in corpus()], "doc_id long, text string, lang string")
+    told = P.identify_language(spark, docs, str(tmp_path))
+    assert {r.doc_id for r in told.collect()} >= set(range(100))
+    assert {r.doc_id for r in P.keep_quality(spark, told, str(tmp_path)).collect()} >= set(range(100))

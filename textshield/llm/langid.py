@@ -7,6 +7,8 @@ language's prototype those of all its training texts. A text goes to the languag
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,9 +20,6 @@ from textshield.llm import rows
 
 DIMENSIONS = 1024
 
-#: Labelled texts of each language that a model is fitted on, about.
-PER_LANGUAGE = 2000
-
 #: Prototypes are sent to every task: 8 KB for each language.
 MOST_LANGUAGES = 4096
 
@@ -30,6 +29,9 @@ AT_ONCE = 400_000
 #: N-grams whose vectors are made and summed at once.
 GRAMS = 4096
 
+#: N-grams, over all languages, that a task of fit() counts before it sums their vectors; languages handed on at once.
+HELD_GRAMS, VECTORS_AT_ONCE = 1 << 19, 64
+
 UNDETERMINED = "und"
 
 _GAP = 0
@@ -103,28 +105,79 @@ def groups(texts: list[str]):
         yield first, run
 
 
-def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Prototypes of the languages of a labelled table, from about per_language texts of each (rows.labelled_sample).
+class _Counts:
+    """Numbers of n-grams of each language, by the code points of their letters."""
+
+    def __init__(self):
+        self.parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.size = 0
+
+    def add(self, name: str, found: list[np.ndarray]) -> None:
+        """Count the n-grams of texts given by their symbols; a language whose texts have none is noted too."""
+        s = np.concatenate(found)
+        owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        key = (s[:-2] << 42 | s[1:-1] << 21 | s[2:])[owner[:-2] == owner[2:]]
+        grams, counts = np.unique(key, return_counts=True)
+        self.parts.setdefault(name, []).append((grams, counts))
+        self.size += len(grams) + 1
+
+    def merge(self) -> None:
+        for name, found in self.parts.items():
+            if len(found) > 1:
+                grams, place = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+                counts = np.bincount(place, np.concatenate([c for _, c in found]), len(grams))  # whole numbers, exact below 2^53
+                self.parts[name] = [(grams, counts)]
+        self.size = sum(len(found[0][0]) + 1 for found in self.parts.values())
+
+    def vectors(self) -> Iterator[pa.RecordBatch]:
+        """The bundled vector of each language."""
+        self.merge()
+        names = list(self.parts)
+        for at in range(0, len(names), VECTORS_AT_ONCE):
+            some = names[at : at + VECTORS_AT_ONCE]
+            made = [bundled(*self.parts[x][0]).tolist() for x in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(made, pa.list_(pa.float64()))], ["name", "v"])
+
+
+def bundled(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sum of the vectors of n-grams, each as often as it was counted."""
+    out, low = np.zeros(DIMENSIONS), (1 << 21) - 1
+    for at in range(0, len(grams), GRAMS):
+        g = grams[at : at + GRAMS]
+        out += counts[at : at + GRAMS].astype(np.float64) @ ngram_vectors(g >> 42, g >> 21 & low, g & low)
+    return out
+
+
+def fit(docs: DataFrame, text: str = "text", label: str = "lang") -> tuple[list[str], np.ndarray]:
+    """Prototypes of the languages of a labelled table, from all its texts.
 
-    Rows without label or text teach nothing; repeated rows and ties count each, unless they share key and text: such
-    rows are all in the sample or none is. An empty table gives no language. Very long texts are read whole. Other columns
-    are not read. Returns the languages in order and a matrix with a row for each.
+    Rows without label or text teach nothing; repeated rows and ties count each. An empty table gives no language. Very
+    long texts are read whole. Other columns are not read. N-grams are counted first, so that each one's vector is made
+    once for many texts. Returns the languages in order and a matrix with a row for each.
     """
     runtime.prepare(docs.sparkSession)
-    sample = rows.labelled_sample(docs.select(text, label, key).where(F.col(text).isNotNull()), label, key, per_language, text)
+    labelled = docs.select(text, label).where(F.col(text).isNotNull() & F.col(label).isNotNull())
 
     def run(batches):
-        sums: dict[str, np.ndarray] = {}
+        counts = _Counts()
         for batch in batches:
             names = batch.column(label).to_pylist()
             for first, found in groups(rows.texts(batch.column(text))):
-                for name, v in zip(names[first:], text_vectors(found), strict=False):
-                    sums[name] = sums.get(name, 0) + v.astype(np.float64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["name", "v"])
+                by: dict[str, list[np.ndarray]] = {}
+                for name, x in zip(names[first:], found, strict=False):
+                    by.setdefault(name, []).append(x)
+                for name, some in by.items():
+                    counts.add(name, some)
+                if counts.size > HELD_GRAMS:
+                    counts.merge()
+                    if counts.size > HELD_GRAMS // 2:
+                        yield from counts.vectors()
+                        counts = _Counts()
+        yield from counts.vectors()
+        del counts
         rows.release()
 
-    parts = sample.mapInArrow(run, "name string, v array<double>")
+    parts = labelled.mapInArrow(run, "name string, v array<double>")
     summed = parts.select("name", F.posexplode("v").alias("i", "x")).groupBy("name", "i").agg(F.sum("x").alias("x"))
     found = summed.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).orderBy("name").take(MOST_LANGUAGES + 1)
     if len(found) > MOST_LANGUAGES:
