@@ -4,9 +4,14 @@ import random
 import re
 import unicodedata
 
+from pyspark.sql import functions as F
+
+from textshield import runtime
+from textshield.functions import columns as C
 from textshield.functions.signatures import SIGNATURES
 from textshield.operators import detect as D
 from textshield.operators import sanitize as S
+from textshield.operators import toolguard as G
 from textshield.plans import attacks as A
 
 
@@ -70,3 +75,21 @@ def test_bytes_that_spare_the_search_for_the_invisible():
 def test_first_words_of_lines():
     for text in ("a\n- b\n\n 12. c\n(d", "***\n\n(x\n> y'z w", "\n\n1)\n don't\n-", "", "one\r\ntwo\n\t#three", *A.TEXTS):
         assert D._first_words(text) == re.findall(D.FIRST_WORD, text, re.M)
+
+
+def test_hosts_are_judged_without_errors_raised_for_each_name(spark):
+    want = {"10.1.2.3": True, "1.2.3.4567": False, "+10.2.3.4": False, "999.1.1.1": False, "10..2.3": False, "a.b": False, "intranet": True, "010.1.1.1": True, "10.1.2.3.4": False, "٣.1.1.1": False}
+    hosts = spark.createDataFrame([(h,) for h in want], "h string").select("h", G.private_host(F.col("h")).alias("private"))
+    assert "try_cast" not in hosts._jdf.queryExecution().analyzed().toString()
+    assert {r.h: r.private for r in hosts.collect()} == want
+
+
+def test_values_that_pass_uncleaned_are_clean(spark):
+    values = ["plain words", "a  b", " a", "a ", "a\n", "a\nb", "a\tb", "é", "a​b", "a\x07", "", "https://u:p@h.example/", "localhost:80/", "x: y", "\U000e0041"]
+    df = runtime.prepare(spark).createDataFrame([(v,) for v in values], "v string").select("v", F.col("v").rlike(G._UNCLEAN).alias("unclean"), C.tidy(C.strip_invisible(F.col("v"))).alias("clean"))
+    for r in df.collect():
+        assert r.unclean or r.clean == r.v, r
+    found = runtime.prepare(spark).createDataFrame([({n: v},) for n in ("note", "my_url") for v in values], "a map<string,string>").select(G.argument_findings(F.col("a")).alias("f"), F.map_entries("a")[0].alias("e"))
+    got = {(r.e.key, r.e.value): [x.category for x in r.f] for r in found.collect()}
+    assert got["note", "https://u:p@h.example/"] == ["tool_url_credentials"] and got["note", "localhost:80/"] == [] and got["my_url", "localhost:80/"] == ["tool_url_private_host"]
+    assert got["note", "x: y"] == ["tool_url_scheme"] and got["note", "a​b"] == got["note", "\U000e0041"] == ["tool_arg_smuggling"] and got["note", "plain words"] == []

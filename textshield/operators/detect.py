@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from textshield.functions import columns as C
 from textshield.functions.signatures import ANCHORS, RUNS, SIGNATURES, Signature
-from textshield.operators.sanitize import sanitize
+from textshield.operators.sanitize import clean, findings
 
 #: First words that make a line a command.
 COMMANDS = (
@@ -265,5 +265,5 @@ def detect(df: DataFrame, text: str, into: str = "detected", *, threshold: float
 
 def scan(df: DataFrame, text: str = "text", into: str = "scan", *, threshold: float = 0.5) -> DataFrame:
     """Sanitize and detect, without a cap on length."""
-    df = sanitize(df, text, "__dt_clean")
-    return detect(df.withColumn("__dt_text", F.col("__dt_clean.text")), "__dt_text", into, threshold=threshold, extra=F.col("__dt_clean.findings")).drop("__dt_clean", "__dt_text")
+    df = clean(df, text, "__dt_clean")
+    return detect(df.withColumn("__dt_text", F.col("__dt_clean.text")), "__dt_text", into, threshold=threshold, extra=findings(F.col("__dt_clean"))).drop("__dt_clean", "__dt_text")
